@@ -1,9 +1,9 @@
 """Parent-child links as nested-set forests, and the cycles that are no forest.
 
-Sizes of subtrees are summed upward level by level, sibling ranges are allocated downward by
-prefix sums, and a node's range then holds exactly its descendants. Nodes the upward pass never
-finishes lie on cycles. All steps are joins on ids; the number of rounds is the height of the
-forest, and every round touches only inner nodes, never the leaves.
+Sizes of subtrees are summed upward, sibling ranges are allocated downward by prefix sums, and a
+node's range then holds exactly its descendants. Nodes whose climb the upward pass never finishes
+hang on cycles. Both passes double the distance they span in each round, so their number is the
+logarithm of the height, and they touch only inner nodes: leaves take theirs from the parent.
 """
 
 from __future__ import annotations
@@ -44,53 +44,58 @@ def nested_sets(links: DataFrame, with_path: bool = False) -> DataFrame:
     """
     links = cut(links, "links").df
     kids = links.groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("need"))
-    up = links.withColumnRenamed("parent", "up")
-    inner = kids.join(up, ["tree", "node"], "left")
     leaves = links.join(kids, ["tree", "node"], "left_anti")
-    first = leaves.groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("have"))
-    state = inner.join(first, ["tree", "node"], "left").select(
-        "tree", "node", "up", "need", F.coalesce("have", F.lit(0)).alias("have"), (F.coalesce("have", F.lit(0)) + 1).alias("size")
+    own = leaves.groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    inner = kids.join(links.withColumnRenamed("parent", "up"), ["tree", "node"], "left").join(own, ["tree", "node"], "left")
+    state = inner.select(
+        "tree", "node", "up", F.col("up").alias("parent"), F.coalesce("up", "node").alias("root"),
+        F.col("up").isNotNull().cast("int").alias("depth"), (F.coalesce("n", F.lit(0)) + 1).alias("size"),
     )
-    ready = F.count(F.when(F.col("have") == F.col("need"), 1))
-    now, finished = cut(state, "up", ready=ready), []
-    while now.seen["ready"]:
-        done = now.df.where("have = need")
-        finished.append(done.select("tree", "node", "up", "size"))
-        said = done.where("up is not null").groupBy("tree", F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-        rest = now.df.where("have < need").join(said, ["tree", "node"], "left")
-        rest = rest.select("tree", "node", "up", "need", (F.col("have") + F.coalesce("n", F.lit(0))).alias("have"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"))
-        now = cut(rest, "up", ready=ready)
-    empty = now.df.where("false").select("tree", "node", "up", "size")
-    sized = reduce(DataFrame.unionByName, finished, empty).unionByName(leaves.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))
-
-    bucket = F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS))
-    placed = sized.withColumn("bucket", bucket)
-    before = Window.partitionBy("tree", "up").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("tree", "up", "bucket").agg(F.sum("size").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    within = Window.partitionBy("tree", "up", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    climbing = F.count("up")
+    now, open_before = cut(state, "up", climbing=climbing), None
+    while now.seen["climbing"] not in (0, open_before):
+        at, above = now.df.alias("a"), now.df.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2")).alias("b")
+        below = now.df.where("up is not null").groupBy(F.col("tree").alias("t"), F.col("up").alias("n")).agg(F.sum("size").alias("more")).alias("m")
+        met = at.join(below, (F.col("a.tree") == F.col("m.t")) & (F.col("a.node") == F.col("m.n")), "left").drop("t", "n")
+        gained = met.select("tree", "node", "up", "parent", "root", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        rising = gained.where("up is not null").join(above, (F.col("tree") == F.col("b.t")) & (F.col("up") == F.col("b.n")))
+        rising = rising.select("tree", "node", F.col("up2").alias("up"), "parent", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), "size")
+        open_before, before = now.seen["climbing"], now
+        now = cut(rising.unionByName(gained.where("up is null")), "up", climbing=climbing)
+        before.drop()
+    # what still climbs goes round in a cycle; the rest is the forest
+    ended = now.df.where("up is null").drop("up")
+    leaf = leaves.select("tree", "node", "parent", F.lit(1).cast("long").alias("size"))
+
+    placed = ended.select("tree", "node", "parent", "size").unionByName(leaf).withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(SIBLING_BUCKETS)))
+    before = Window.partitionBy("tree", "parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("tree", "parent", "bucket").agg(F.sum("size").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    within = Window.partitionBy("tree", "parent", "bucket").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("off", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("c")
-    same = (F.col("c.tree") == F.col("b.tree")) & F.col("c.up").eqNullSafe(F.col("b.up")) & (F.col("c.bucket") == F.col("b.bucket"))
-    placed = placed.join(base.alias("b"), same).select("c.tree", "c.node", "c.up", "c.size", (F.col("off") + F.col("base")).alias("off"))
+    same = (F.col("c.tree") == F.col("b.tree")) & F.col("c.parent").eqNullSafe(F.col("b.parent")) & (F.col("c.bucket") == F.col("b.bucket"))
+    placed = placed.join(base.alias("b"), same).select("c.tree", "c.node", "c.parent", "c.size", (F.col("off") + F.col("base")).alias("off"))
     placed = cut(placed, "placed").df
 
-    path = [F.array("node").alias("path")] if with_path else []
-    grown = [F.concat("f.path", F.array("c.node")).alias("path")] if with_path else []
-    front = cut(
-        placed.where("up is null").select("tree", "node", F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("off").alias("start"), "size", *path),
-        "down",
+    # a node starts after all that its ancestors and their earlier siblings hold
+    offsets = placed.select("tree", "node", "off")
+    first = ended.join(offsets, ["tree", "node"]).select(
+        "tree", "node", F.col("parent").alias("up"), "parent", "root", "depth", "size",
+        (F.col("off") + F.col("parent").isNotNull().cast("int")).alias("start"), *([F.array("node").alias("path")] if with_path else []),
     )
-    levels = []
-
-    def below(children: DataFrame, parents: DataFrame) -> DataFrame:
-        met = children.alias("c").join(parents.alias("f"), (F.col("c.tree") == F.col("f.tree")) & (F.col("c.up") == F.col("f.node")))
-        return met.select("c.tree", "c.node", F.col("c.up").alias("parent"), "f.root", (F.col("f.depth") + 1).alias("depth"), (F.col("f.start") + 1 + F.col("c.off")).alias("start"), "c.size", *grown)
-
-    heads = placed.where("size > 1 and up is not null")
-    while front.seen["rows"]:
-        levels.append(front.df)
-        front = cut(below(heads, front.df), "down")
-    upper = reduce(DataFrame.unionByName, levels, front.df)
-    return upper.unionByName(below(placed.where("size = 1 and up is not null"), upper))
+    down = cut(first, "down", climbing=climbing)
+    while down.seen["climbing"]:
+        above = down.df.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("start").alias("start2"), *([F.col("path").alias("path2")] if with_path else [])).alias("b")
+        rising = down.df.where("up is not null").alias("a").join(above, (F.col("a.tree") == F.col("b.t")) & (F.col("a.up") == F.col("b.n"))).select(
+            "tree", "node", F.col("up2").alias("up"), "parent", "root", "depth", "size", (F.col("start") + F.col("start2")).alias("start"),
+            *([F.concat("path2", "path").alias("path")] if with_path else []),
+        )
+        before, down = down, cut(rising.unionByName(down.df.where("up is null")), "down", climbing=climbing)
+        before.drop()
+    upper = down.df.drop("up")
+    over = upper.select("tree", F.col("node").alias("parent"), "root", (F.col("depth") + 1).alias("depth"), (F.col("start") + 1).alias("after"), *(["path"] if with_path else []))
+    lowest = placed.join(leaf.select("tree", "node"), ["tree", "node"], "left_semi").join(over, ["tree", "parent"])
+    lowest = lowest.select("tree", "node", "parent", "root", "depth", "size", (F.col("after") + F.col("off")).alias("start"), *([F.concat("path", F.array("node")).alias("path")] if with_path else []))
+    return upper.unionByName(lowest)
 
 
 def descendants(forest: DataFrame) -> DataFrame:
@@ -110,16 +115,20 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
     Returns ``(node, root, members)``: the smallest id and the number of nodes that are at once
     ancestors and descendants of the node, itself included. Links that cannot lie on a cycle are
     peeled from both ends first; what stays is split by the smallest id that reaches each node,
-    and in each part those that lead back to that id form one group.
+    and in each part those that lead back to that id form one group. A node between two cycles is no
+    group, a node linked to itself is.
     """
     alive = cut(links.select("node", "parent").distinct(), "links")
     groups = []
     while True:
         while True:  # peel
             had = alive.seen["rows"]
-            kept = alive.df.join(alive.df.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
-            kept = kept.join(alive.df.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent")
-            alive = cut(kept, "peeled")
+            kept = alive.df
+            for _ in range(2):
+                below = kept.join(kept.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
+                kept = below.join(kept.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent")
+            before, alive = alive, cut(kept, "peeled")
+            before.drop()
             if alive.seen["rows"] in (0, had):
                 break
         if not alive.seen["rows"]:
@@ -150,4 +159,6 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
         return alive.df.where("false").select("node", F.col("node").alias("root"), F.lit(0).alias("members"))
     found = reduce(DataFrame.unionByName, groups)
     size = found.groupBy("colour").agg(F.count(F.lit(1)).cast("int").alias("members"))
+    selves = links.where("node = parent").select(F.col("node").alias("colour"), F.lit(True).alias("self")).distinct()
+    size = size.join(selves, "colour", "left").where("members > 1 or self")
     return found.join(size, "colour").select("node", F.col("colour").alias("root"), "members")
