@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import components, survivor
+from paddock.llm import components, linkage, survivor
 from paddock.runtime import cut, table
 
 
@@ -39,3 +39,18 @@ def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of each group and field that the model judges true."""
     return survivor.kept_values(_claims(spark, sf_dir)).withColumn("p", F.round("p", 6))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home, foreign = linkage.horse_traits(table(spark, sf_dir, "horse")), linkage.raw_traits(table(spark, sf_dir, "horse_raw"))
+    return linkage.matches(home, foreign)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a horse row and a foreign record that are the same animal."""
+    return _linked(spark, sf_dir).select(F.col("id").alias("horse_id"), F.col("other_id").alias("raw_id"))
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with the model's confidence."""
+    return _linked(spark, sf_dir).select(F.col("id").alias("horse_id"), F.col("other_id").alias("raw_id"), F.round("p", 6).alias("confidence"))
