@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paddock.functions.unitparse import read_shape
 from paddock.operators import intervals
 from paddock.plans.standing import standing
-from paddock.runtime import Cut, cut
+from paddock.runtime import cut, join_sized
 
 # The keys under which sources state prizes and times.
 PRIZE_KEYS = ["prize_txt", "prize", "gain", "gewinn", "purse", "money"]
@@ -26,7 +26,7 @@ PLAUSIBLE = (60.0, 100.0)
 #: A number within this of the stated time is the same time, rounded.
 SAME_TIME = 0.06
 #: A dictionary of shapes up to this many rows is broadcast, a larger one is joined by salted keys.
-BROADCAST_ROWS, SALTS = 20_000, 32
+BROADCAST_ROWS = 20_000
 
 READING = "form string, groups int, decimals int, exponent int, currency string, per string"
 
@@ -53,14 +53,7 @@ def read_texts(texts: DataFrame) -> DataFrame:
     """
     shaped = texts.where("length(trim(text)) > 0").withColumn("shape_", shape_of(F.col("text")))
     known = cut(shaped.select("field", "shape_").distinct().mapInPandas(_parse, "field string, shape_ string, " + READING), "shapes")
-    return _with_shapes(shaped, known).where("form is not null").drop("shape_", "salt_").withColumn("digits", F.expr("regexp_extract_all(text, '([0-9]+)', 1)"))
-
-
-def _with_shapes(shaped: DataFrame, known: Cut) -> DataFrame:
-    if known.seen["rows"] <= BROADCAST_ROWS:
-        return shaped.join(F.broadcast(known.df), ["field", "shape_"])
-    salted = known.df.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return shaped.withColumn("salt_", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int")).join(salted, ["field", "shape_", "salt_"])
+    return join_sized(shaped, known, ["field", "shape_"], F.col("entry_id"), BROADCAST_ROWS).where("form is not null").drop("shape_").withColumn("digits", F.expr("regexp_extract_all(text, '([0-9]+)', 1)"))
 
 
 def amount_of() -> Column:

@@ -123,3 +123,8 @@ def p7_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated prizes and times that the number columns don't hold in kronor or seconds a km."""
     return units.restated(table(spark, sf_dir, "entry"), table(spark, sf_dir, "fx_rate"))
+
+
+def queries() -> dict:
+    """The core training-data queries by name."""
+    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p3_found, p6_found, p7_found, p7_rolling)}

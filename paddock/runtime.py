@@ -76,3 +76,15 @@ def _clean() -> None:
             _delete(spark, path)
         except Exception:  # the session is gone; its folder is the cluster's to empty
             return
+
+
+def join_sized(big: DataFrame, small: Cut, keys: list[str], salt_by: Column, limit: int = 1_000_000, salts: int = 32) -> DataFrame:
+    """Inner join with a written table: broadcast up to ``limit`` rows, beyond it by salted keys.
+
+    The size is that counted when the table was written. Salting splits keys that hold a large
+    share of ``big``; the small side is repeated once a salt.
+    """
+    if small.seen["rows"] <= limit:
+        return big.join(F.broadcast(small.df), keys)
+    spread = small.df.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("salt_", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(spread, [*keys, "salt_"]).drop("salt_")
