@@ -115,7 +115,7 @@ def p7_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = rolling.trailing(days, daily, "trainer_id", "race_date", sums, PERIODS)
     out = []
     for p in PERIODS:
-        mean = lambda c, p=p: F.round((F.col(f"{c}_{p}") / F.when(F.col(f"{c}_n_{p}") > 0, F.col(f"{c}_n_{p}"))).cast("double"), 6)
+        mean = lambda c, p=p: F.col(f"{c}_{p}").cast("double") / F.when(F.col(f"{c}_n_{p}") > 0, F.col(f"{c}_n_{p}"))
         out += [F.coalesce(f"n_{p}", F.lit(0)).alias(f"n_{p}"), F.col(f"beat_{p}"), F.col(f"outperf_{p}").cast("double").alias(f"outperf_{p}"), mean("beat").alias(f"beatrate_{p}"), mean("outperf").alias(f"posbeat_{p}")]
     return totals.select("trainer_id", "race_date", *out)
 

@@ -4,25 +4,25 @@ _LINKS = """l AS (
   SELECT 'sire' lineage, horse_id node, sire_id parent FROM horse WHERE sire_id IN (SELECT horse_id FROM horse)
   UNION ALL SELECT 'dam', horse_id, dam_id FROM horse WHERE dam_id IN (SELECT horse_id FROM horse)),
 up AS (
-  SELECT lineage, node, parent at, 1 n, node || '' p FROM l
-  UNION ALL SELECT up.lineage, up.node, l.parent, n + 1, up.at || '>' || p FROM up JOIN l ON l.lineage = up.lineage AND l.node = up.at WHERE n < 300),
-climbed AS (SELECT * FROM up WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.lineage = up.lineage AND l.node = up.at))"""
+  SELECT lineage, node, parent apex, 1 n, node || '' p FROM l
+  UNION ALL SELECT up.lineage, up.node, l.parent, n + 1, up.apex || '>' || p FROM up JOIN l ON l.lineage = up.lineage AND l.node = up.apex WHERE n < 300),
+climbed AS (SELECT * FROM up WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.lineage = up.lineage AND l.node = up.apex))"""
 
 _STANDING = "standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY last_updated_at DESC NULLS LAST) rn FROM entry WHERE entry_id IS NOT NULL) WHERE rn = 1)"
 
 P1_FOUND = f"""WITH RECURSIVE {_LINKS},
 anc AS (SELECT node a, parent b FROM l UNION SELECT anc.a, l.parent FROM anc JOIN l ON l.node = anc.b)
-SELECT lineage, node horse_id, at root_id, n n_steps FROM climbed
+SELECT lineage, node horse_id, apex root_id, n n_steps FROM climbed
 UNION ALL SELECT 'loop', p.a, min(p.b), count(*)::INT FROM anc p JOIN anc q ON p.a = q.b AND p.b = q.a GROUP BY p.a"""
 
 P1_HIERARCHY = f"""WITH RECURSIVE {_LINKS},
-whole AS (SELECT lineage, node, at, n, at || '>' || p p FROM climbed),
-nodes AS (SELECT * FROM whole UNION ALL SELECT DISTINCT lineage, at, at, 0, at || '' FROM climbed),
-below AS (SELECT up.lineage, up.at node, count(*) k FROM up JOIN climbed c ON c.lineage = up.lineage AND c.node = up.node GROUP BY ALL)
-SELECT nodes.lineage, nodes.node horse_id, nodes.at root_id, n n_steps, p path, coalesce(k, 0)::BIGINT n_descendants FROM nodes LEFT JOIN below USING (lineage, node)"""
+whole AS (SELECT lineage, node, apex, n, apex || '>' || p p FROM climbed),
+nodes AS (SELECT * FROM whole UNION ALL SELECT DISTINCT lineage, apex, apex, 0, apex || '' FROM climbed),
+below AS (SELECT up.lineage, up.apex node, count(*) k FROM up JOIN climbed c ON c.lineage = up.lineage AND c.node = up.node GROUP BY ALL)
+SELECT nodes.lineage, nodes.node horse_id, nodes.apex root_id, n n_steps, p path, coalesce(k, 0)::BIGINT n_descendants FROM nodes LEFT JOIN below USING (lineage, node)"""
 
 P1_DESCENDANTS = f"""WITH RECURSIVE {_LINKS}
-SELECT up.lineage, up.at horse_id, up.node descendant_id, up.n n_steps FROM up JOIN climbed c ON c.lineage = up.lineage AND c.node = up.node"""
+SELECT up.lineage, up.apex horse_id, up.node descendant_id, up.n n_steps FROM up JOIN climbed c ON c.lineage = up.lineage AND c.node = up.node"""
 
 P3_FOUND = f"""WITH {_STANDING},
 v AS (SELECT f.entry_id, f.race_date, h.from_date, h.trainer_id, h.to_date,
@@ -46,7 +46,7 @@ SELECT entry_id FROM m WHERE coalesce(abs(pb - mp) > 0.001, (pb IS NULL) <> (mp
 def _period(p: int) -> str:
     inside = f"FILTER (b.race_date >= c.race_date - {p})"
     return f"""coalesce(sum(n) {inside}, 0)::BIGINT n_{p}, (sum(beat) {inside})::BIGINT beat_{p}, (sum(outperf) {inside})::DOUBLE outperf_{p},
-  round(((sum(beat) {inside})::DOUBLE / nullif(sum(beat_n) {inside}, 0)), 6) beatrate_{p}, round((sum(outperf) {inside})::DOUBLE / nullif(sum(outperf_n) {inside}, 0), 6) posbeat_{p}"""
+  (sum(beat) {inside})::DOUBLE / nullif(sum(beat_n) {inside}, 0) beatrate_{p}, (sum(outperf) {inside})::DOUBLE / nullif(sum(outperf_n) {inside}, 0) posbeat_{p}"""
 
 
 P7_ROLLING = f"""WITH {_FORM},
