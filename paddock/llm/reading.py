@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ SENTENCE_WORDS = 3
 
 #: Bins of the level scale in the word step, words kept from so many documents on, rounds of both steps.
 BINS, LEAST_DOCUMENTS, ROUNDS, RIDGE = np.linspace(1, 5, 9), 3, 2, 2.0
+#: Most words of a dictionary that is sent to every executor (16 bytes each).
+DICTIONARY = 2_000_000
 FEATURES = ["one", "log_mean", "mean_log", "letters", *(f"is_{x}" for x in LANGUAGES[1:])]
 
 
@@ -77,11 +80,12 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lang = max(LANGUAGES, key=lambda x: (tongue[x], -LANGUAGES.index(x)))
             total = int(n.sum())
             letters = sum(len(w) * k for w, k in counts.items()) / total
-            rows.append((doc, lang, float(np.log(n.mean())), float(np.log(n).mean()), letters, total, list(counts), list(counts.values())))
+            ids = np.fromiter((xxhash.xxh64_intdigest(w) for w in counts), np.uint64, len(counts)).astype(np.int64)
+            rows.append((doc, lang, float(np.log(n.mean())), float(np.log(n).mean()), letters, total, ids, np.fromiter(counts.values(), np.int32, len(counts))))
         yield pd.DataFrame(rows, columns=["doc_id", "lang", "log_mean", "mean_log", "letters", "total", "words", "counts"])
 
 
-MEASURES = "doc_id bigint, lang string, log_mean double, mean_log double, letters double, total bigint, words array<string>, counts array<bigint>"
+MEASURES = "doc_id bigint, lang string, log_mean double, mean_log double, letters double, total bigint, words array<bigint>, counts array<int>"
 
 
 def measured(documents: DataFrame) -> DataFrame:
@@ -133,25 +137,59 @@ def _fit_words(batches: Iterator[pd.DataFrame], totals: np.ndarray) -> Iterator[
 
 
 def word_step(docs: DataFrame, level: Column) -> Cut:
-    """Difficulty of each word given the documents' levels: ``(word, difficulty)``."""
+    """Difficulty of each word given the documents' levels: ``(word, difficulty)``.
+
+    Counts by word and level are summed within each batch before they are shuffled.
+    """
     at = F.round((F.greatest(F.least(level, F.lit(5.0)), F.lit(1.0)) - 1) * 2).cast("int")
-    binned = docs.withColumn("bin", at)
+    binned = docs.select(at.alias("bin"), "total", "words", "counts")
     totals = np.zeros(len(BINS))
     for r in binned.groupBy("bin").agg(F.sum("total").alias("n")).collect():
         totals[r.bin] = r.n
-    each = binned.select("bin", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("bin", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    by_bin = each.groupBy("word", "bin").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.empty:
+                continue
+            sizes = b.words.str.len().to_numpy()
+            rows = pd.DataFrame({"word": np.concatenate(b.words.to_numpy()), "bin": np.repeat(b["bin"].to_numpy(), sizes), "n": np.concatenate(b.counts.to_numpy())})
+            yield rows.groupby(["word", "bin"], sort=False).n.agg(["sum", "size"]).reset_index().set_axis(["word", "bin", "n", "docs"], axis=1)
+
+    by_bin = binned.mapInPandas(tally, "word bigint, bin int, n bigint, docs bigint").groupBy("word", "bin").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_word = by_bin.groupBy("word").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"), F.sum("docs").alias("docs"))
     kept = by_word.where(F.col("docs") >= LEAST_DOCUMENTS).drop("docs")
-    return cut(kept.mapInPandas(lambda b: _fit_words(b, np.maximum(totals, 1e-9)), "word string, difficulty double"), "words")
+    return cut(kept.mapInPandas(lambda b: _fit_words(b, np.maximum(totals, 1e-9)), "word bigint, difficulty double"), "words")
 
 
 def document_step(docs: DataFrame, words: Cut) -> DataFrame:
-    """Mean difficulty of each document's words: adds ``hardness``."""
-    each = docs.select("doc_id", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc_id", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    met = join_sized(each, words, ["word"], F.col("doc_id"))
-    mean = met.groupBy("doc_id").agg((F.sum(F.col("n") * F.col("difficulty")) / F.sum("n")).alias("hardness"))
-    return docs.join(mean, "doc_id", "left").withColumn("hardness", F.coalesce("hardness", F.lit(0.0)))
+    """Mean difficulty of each document's words: adds ``hardness``.
+
+    Up to ``DICTIONARY`` words are sent to all executors and looked up beside the documents; a
+    larger dictionary is joined.
+    """
+    if words.seen["rows"] > DICTIONARY:
+        each = docs.select("doc_id", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc_id", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+        met = join_sized(each, words, ["word"], F.col("doc_id"))
+        mean = met.groupBy("doc_id").agg((F.sum(F.col("n") * F.col("difficulty")) / F.sum("n")).alias("hardness"))
+        return docs.join(mean, "doc_id", "left").withColumn("hardness", F.coalesce("hardness", F.lit(0.0)))
+    table = words.df.toPandas().sort_values("word")
+    known = docs.sparkSession.sparkContext.broadcast((table.word.to_numpy(np.int64), table.difficulty.to_numpy(float)))
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, difficulty = known.value
+        for b in batches:
+            hardness = np.zeros(len(b))
+            if len(b) and len(ids):
+                sizes = b.words.str.len().to_numpy()
+                word, n = np.concatenate(b.words.to_numpy()), np.concatenate(b.counts.to_numpy()).astype(float)
+                at = np.minimum(np.searchsorted(ids, word), len(ids) - 1)
+                n = np.where(ids[at] == word, n, 0.0)
+                owner = np.repeat(np.arange(len(b)), sizes)
+                weight = np.bincount(owner, n, len(b))
+                hardness = np.bincount(owner, n * difficulty[at], len(b)) / np.where(weight > 0, weight, 1)
+            yield b.assign(hardness=hardness)
+
+    return docs.mapInPandas(look_up, MEASURES + ", hardness double")
 
 
 def cut_points(scores: DataFrame, judged: DataFrame) -> list[float]:
@@ -185,9 +223,10 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     level = _linear(FEATURES, weights)
     for _ in range(rounds):
         words = word_step(docs, level)
-        docs = _with_ones(cut(document_step(raw.df, words), "levels").df)
-        names = [*FEATURES, "hardness"]
-        level = _linear(names, _link(docs, names, judged))
+        docs = _with_ones(document_step(raw.df, words))
+        known = cut(docs.drop("words", "counts"), "levels").df
+        level = _linear([*FEATURES, "hardness"], _link(known, [*FEATURES, "hardness"], judged))
+    docs = known
     scores = docs.select("doc_id", "lang", level.alias("score"))
     c = cut_points(scores, judged)
     graded = F.lit(1) + sum(((F.col("score") >= x).cast("int") for x in c), F.lit(0))
