@@ -13,9 +13,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,35 +59,53 @@ def repaired(text: str) -> str:
     return "\n".join(out)
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of running prose: no markup, headings, list lines or fragments."""
-    lines = (x for x in TAG.sub(" ", repaired(text)).split("\n") if not LISTED.match(x))
-    found = (s for line in lines for s in SENTENCE.findall(line))
-    return [s for s in found if sum(len(w) >= 2 for w in WORD.findall(s)) >= SENTENCE_WORDS]
+def sentence_words(text: str) -> list[list[str]]:
+    """Words of each sentence of running prose: no markup, headings, list lines or fragments."""
+    text = repaired(text).lower()
+    if "<" in text:
+        text = TAG.sub(" ", text)
+    found = []
+    for line in text.split("\n"):
+        if LISTED.match(line):
+            continue
+        for s in SENTENCE.findall(line):
+            words = WORD.findall(s)
+            if len(words) >= SENTENCE_WORDS and sum(len(w) >= 2 for w in words) >= SENTENCE_WORDS:
+                found.append(words)
+    return found
+
+
+class _Ids(dict):
+    """Ids of words, remembered within a worker; emptied when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = made = xxhash.xxh64_intdigest(word) - (1 << 63)
+        return made
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    id_of = _Ids()
     for b in batches:
         rows = []
         for doc, text in zip(b.doc_id, b.text, strict=True):
-            words = [WORD.findall(s.lower()) for s in sentences(text)]
+            words = sentence_words(text)
             if not words:
                 continue
             n = np.array([len(w) for w in words], float)
-            counts = Counter(w for s in words for w in s)
-            tongue = Counter()
-            for w, k in counts.items():
-                if w in _WHOSE:
-                    tongue[_WHOSE[w]] += k
-            lang = max(LANGUAGES, key=lambda x: (tongue[x], -LANGUAGES.index(x)))
+            counts = Counter(chain.from_iterable(words))
+            tongue = dict.fromkeys(LANGUAGES, 0)
+            for w in counts.keys() & _WHOSE.keys():
+                tongue[_WHOSE[w]] += counts[w]
             total = int(n.sum())
-            letters = sum(len(w) * k for w, k in counts.items()) / total
-            ids = np.fromiter((xxhash.xxh64_intdigest(w) for w in counts), np.uint64, len(counts)).astype(np.int64)
-            rows.append((doc, lang, float(np.log(n.mean())), float(np.log(n).mean()), letters, total, ids, np.fromiter(counts.values(), np.int32, len(counts))))
+            letters = sum(map(len, chain.from_iterable(words))) / total
+            rows.append((doc, max(LANGUAGES, key=tongue.get), float(np.log(n.mean())), float(np.log(n).mean()), letters, total, [id_of[w] for w in counts], list(counts.values())))
         yield pd.DataFrame(rows, columns=["doc_id", "lang", "log_mean", "mean_log", "letters", "total", "words", "counts"])
 
 
 MEASURES = "doc_id bigint, lang string, log_mean double, mean_log double, letters double, total bigint, words array<bigint>, counts array<int>"
+PLAIN = ["doc_id", "lang", "log_mean", "mean_log", "letters", "total"]
 
 
 def measured(documents: DataFrame) -> DataFrame:
@@ -147,21 +167,20 @@ def word_step(docs: DataFrame, level: Column) -> Cut:
     for r in binned.groupBy("bin").agg(F.sum("total").alias("n")).collect():
         totals[r.bin] = r.n
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.empty:
-                continue
-            sizes = b.words.str.len().to_numpy()
-            rows = pd.DataFrame({"word": np.concatenate(b.words.to_numpy()), "bin": np.repeat(b["bin"].to_numpy(), sizes), "n": np.concatenate(b.counts.to_numpy())})
-            yield rows.groupby(["word", "bin"], sort=False).n.agg(["sum", "size"]).reset_index().set_axis(["word", "bin", "n", "docs"], axis=1)
+            sizes = np.diff(b["words"].offsets.to_numpy())
+            key = {"word": b["words"].flatten(), "bin": np.repeat(b["bin"].to_numpy(), sizes), "n": b["counts"].flatten().cast(pa.int64())}
+            met = pa.table(key).group_by(["word", "bin"]).aggregate([("n", "sum"), ("n", "count")]).rename_columns(["word", "bin", "n", "docs"])
+            yield from met.combine_chunks().to_batches()
 
-    by_bin = binned.mapInPandas(tally, "word bigint, bin int, n bigint, docs bigint").groupBy("word", "bin").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_bin = binned.mapInArrow(tally, "word bigint, bin int, n bigint, docs bigint").groupBy("word", "bin").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_word = by_bin.groupBy("word").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"), F.sum("docs").alias("docs"))
     kept = by_word.where(F.col("docs") >= LEAST_DOCUMENTS).drop("docs")
     return cut(kept.mapInPandas(lambda b: _fit_words(b, np.maximum(totals, 1e-9)), "word bigint, difficulty double"), "words")
 
 
-def document_step(docs: DataFrame, words: Cut) -> DataFrame:
+def document_step(docs: DataFrame, words: Cut, with_words: bool = False) -> DataFrame:
     """Mean difficulty of each document's words: adds ``hardness``.
 
     Up to ``DICTIONARY`` words are sent to all executors and looked up beside the documents; a
@@ -175,21 +194,22 @@ def document_step(docs: DataFrame, words: Cut) -> DataFrame:
     table = words.df.toPandas().sort_values("word")
     known = docs.sparkSession.sparkContext.broadcast((table.word.to_numpy(np.int64), table.difficulty.to_numpy(float)))
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, difficulty = known.value
         for b in batches:
-            hardness = np.zeros(len(b))
-            if len(b) and len(ids):
-                sizes = b.words.str.len().to_numpy()
-                word, n = np.concatenate(b.words.to_numpy()), np.concatenate(b.counts.to_numpy()).astype(float)
+            hardness = np.zeros(b.num_rows)
+            if b.num_rows and len(ids):
+                word, n = b["words"].flatten().to_numpy(), b["counts"].flatten().to_numpy().astype(float)
                 at = np.minimum(np.searchsorted(ids, word), len(ids) - 1)
                 n = np.where(ids[at] == word, n, 0.0)
-                owner = np.repeat(np.arange(len(b)), sizes)
-                weight = np.bincount(owner, n, len(b))
-                hardness = np.bincount(owner, n * difficulty[at], len(b)) / np.where(weight > 0, weight, 1)
-            yield b.assign(hardness=hardness)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(b["words"].offsets.to_numpy()))
+                weight = np.bincount(owner, n, b.num_rows)
+                hardness = np.bincount(owner, n * difficulty[at], b.num_rows) / np.where(weight > 0, weight, 1)
+            if not with_words:
+                b = b.select(PLAIN)
+            yield b.append_column("hardness", pa.array(hardness))
 
-    return docs.mapInPandas(look_up, MEASURES + ", hardness double")
+    return docs.mapInArrow(look_up, (MEASURES if with_words else MEASURES.partition(", words")[0]) + ", hardness double")
 
 
 def cut_points(scores: DataFrame, judged: DataFrame) -> list[float]:
@@ -223,8 +243,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     level = _linear(FEATURES, weights)
     for _ in range(rounds):
         words = word_step(docs, level)
-        docs = _with_ones(document_step(raw.df, words))
-        known = cut(docs.drop("words", "counts"), "levels").df
+        known = _with_ones(cut(document_step(raw.df, words), "levels").df)
+        docs = _with_ones(document_step(raw.df, words, with_words=True))
         level = _linear([*FEATURES, "hardness"], _link(known, [*FEATURES, "hardness"], judged))
     docs = known
     scores = docs.select("doc_id", "lang", level.alias("score"))
