@@ -1 +1,45 @@
-"""."""
+"""Streaming queries over the events table, each equal to its batch SQL once drained."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paddock.plans.base import query
+from paddock.streaming import events as S
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    s = S.source(spark, d, "events")
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"start\", event_type, count(*) n, sum(value::DECIMAL(18, 4))::DOUBLE total FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return _plain(S.drained(S.tumbling(_events(spark, d)), "complete"), "start")
+
+
+@query("WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR s, * FROM events UNION ALL SELECT time_bucket(INTERVAL 1 HOUR, ts), * FROM events) SELECT s AS \"start\", event_type, count(*) n FROM w GROUP BY ALL")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return _plain(S.drained(S.sliding(_events(spark, d)), "complete"), "start")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM g) SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTES AS "end", count(*) n FROM s GROUP BY user_id, k""")
+def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    return _plain(S.drained(S.sessions(_events(spark, d)), "complete"), "start", "end")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return S.drained(S.first_of_each(_events(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+@query("SELECT user_id, max(ts)::TIMESTAMP newest, arg_max(event_id, (ts, event_id)) event_id FROM events GROUP BY user_id")
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    s = _events(spark, d).groupBy("user_id").agg(F.max("ts").alias("newest"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return _plain(S.drained(s, "complete"), "newest")
