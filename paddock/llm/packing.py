@@ -86,7 +86,7 @@ def pieces(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """
     known = specs.where("spec_name is not null and capacity_tokens > 0").groupBy("spec_name").agg(F.max("capacity_tokens").cast("bigint").alias("capacity")).collect()
     kinds = F.array(*(F.struct(F.lit(r.spec_name).alias("spec_name"), F.lit(r.capacity).cast("bigint").alias("capacity")) for r in known)) if known else F.array().cast("array<struct<spec_name:string,capacity:bigint>>")
-    each = sizes.select("doc_id", "tokens", F.explode(kinds).alias("s")).select("doc_id", "tokens", "s.*")
+    each = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.explode(kinds).alias("s")).select("doc_id", "tokens", "s.*")
     piece = F.explode(F.when(F.col("tokens") > 0, F.sequence(F.lit(0), F.expr("cast((tokens - 1) div capacity as int)"))).otherwise(F.array(F.lit(0))))
     return each.withColumn("piece", piece).select("spec_name", "capacity", "doc_id", "piece", F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity")).alias("length"))
 
