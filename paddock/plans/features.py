@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paddock.operators import asof, intervals, ranking
@@ -17,6 +17,11 @@ HORSE, DAY = "PARTITION BY horse_id ORDER BY race_date, entry_id", "ORDER BY rac
 PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
+def _prior() -> WindowSpec:
+    """A horse's earlier starts."""
+    return before(["horse_id"], ORDER)
+
+
 def starts(spark: SparkSession, d: str) -> DataFrame:
     """Counting starts with feature flags; race and horse known."""
     e = fact(spark, d).where(P.started() & F.col("horse_id").isNotNull() & F.col("race_date").isNotNull())
@@ -26,13 +31,12 @@ def starts(spark: SparkSession, d: str) -> DataFrame:
 S = f"""{E}, s AS (SELECT *, coalesce(placement = 1 AND {ND}, false) won, coalesce(galopp, false) gal, coalesce(disqualified, false) dq,
 CASE WHEN distance IS NULL THEN NULL WHEN distance <= 1700 THEN 's' WHEN distance <= 2250 THEN 'm' ELSE 'l' END band, CASE WHEN odds > 1 THEN least(0.7::DOUBLE, 1 / odds::DOUBLE) ELSE 0 END expw,
 coalesce(shoe_code = '1', false) barefoot FROM e WHERE {START} AND horse_id IS NOT NULL AND race_date IS NOT NULL)"""
-H = before(["horse_id"], ORDER)
 COUNTS = {"starts": "true", "wins": "won", "gals": "gal", "clean_starts": "NOT gal", "clean_wins": "NOT gal AND won", "nondq_starts": "NOT dq", "auto_starts": "auto", "auto_gals": "auto AND gal", "volt_starts": "NOT auto", "volt_gals": "NOT auto AND gal", "barefoot_starts": "barefoot", "barefoot_gals": "barefoot AND gal"}
 
 
 @query(f"WITH {S} SELECT entry_id, {', '.join(f'count(CASE WHEN {c} THEN 1 END) OVER h {k}' for k, c in COUNTS.items())} FROM s WINDOW h AS ({HORSE} {PRIOR})")
 def horse_asof_counts(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select("entry_id", *(F.count(F.when(F.expr(c), 1)).over(H).alias(k) for k, c in COUNTS.items()))
+    return starts(spark, d).select("entry_id", *(F.count(F.when(F.expr(c), 1)).over(_prior()).alias(k) for k, c in COUNTS.items()))
 
 
 @query(f"WITH {S} SELECT entry_id, lag(gal) OVER h gal_pre, (race_date - lag(race_date) OVER h)::INT days_since, (race_date - lag(race_date) OVER h) > 60 season_debut FROM s WINDOW h AS ({HORSE})")
@@ -44,13 +48,13 @@ def lag_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {S} SELECT entry_id, {', '.join(f'''min(CASE WHEN band = '{b}' AND time_seconds > 0 THEN time_seconds END) OVER h record_{b}''' for b in 'sml')} FROM s WINDOW h AS ({HORSE} {PRIOR})")
 def best_by_band_asof(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select("entry_id", *(F.min(F.when((F.col("band") == b) & (F.col("time_seconds") > 0), F.col("time_seconds"))).over(H).alias(f"record_{b}") for b in "sml"))
+    return starts(spark, d).select("entry_id", *(F.min(F.when((F.col("band") == b) & (F.col("time_seconds") > 0), F.col("time_seconds"))).over(_prior()).alias(f"record_{b}") for b in "sml"))
 
 
 @query(f"""WITH {S} SELECT entry_id, CASE WHEN auto IS NULL THEN NULL WHEN auto THEN count(CASE WHEN auto THEN 1 END) OVER h = 0 ELSE count(CASE WHEN NOT auto THEN 1 END) OVER h = 0 END first_method,
 CASE band {' '.join(f"WHEN '{b}' THEN count(CASE WHEN band = '{b}' THEN 1 END) OVER h = 0" for b in 'sml')} END first_band, barefoot AND count(CASE WHEN barefoot THEN 1 END) OVER h = 0 first_barefoot FROM s WINDOW h AS ({HORSE} {PRIOR})""")
 def first_time_flags(spark: SparkSession, d: str) -> DataFrame:
-    none = lambda c: F.count(F.when(c, 1)).over(H) == 0
+    none = lambda c: F.count(F.when(c, 1)).over(_prior()) == 0
     auto, band = F.col("auto"), F.col("band")
     by_band = F.coalesce(*(F.when(band == b, none(band == b)) for b in "sml"))
     return starts(spark, d).select("entry_id", F.when(auto, none(auto)).when(~auto, none(~auto)).alias("first_method"), by_band.alias("first_band"), (F.col("barefoot") & none(F.col("barefoot"))).alias("first_barefoot"))
@@ -62,18 +66,19 @@ def pair_prior_counts(spark: SparkSession, d: str) -> DataFrame:
     return starts(spark, d).select("entry_id", prior("trainer_id").alias("with_trainer"), prior("driver_id").alias("with_driver"))
 
 
-PERSON = {"starts": F.count(F.lit(1)), "wins": F.count(F.when(F.col("won"), 1)), "gals": F.count(F.when(F.col("gal"), 1)), "odds_n": F.count(F.when(F.col("odds") > 1, 1)), "odds_wins": F.count(F.when((F.col("odds") > 1) & F.col("won"), 1)), "exp_wins": F.sum("expw")}
+def _person() -> dict[str, Column]:
+    return {"starts": F.count(F.lit(1)), "wins": F.count(F.when(F.col("won"), 1)), "gals": F.count(F.when(F.col("gal"), 1)), "odds_n": F.count(F.when(F.col("odds") > 1, 1)), "odds_wins": F.count(F.when((F.col("odds") > 1) & F.col("won"), 1)), "exp_wins": F.sum("expw")}
 _DAILY = "dd AS (SELECT driver_id, race_date, count(*) starts, count(CASE WHEN won THEN 1 END) wins, count(CASE WHEN gal THEN 1 END) gals, count(CASE WHEN odds > 1 THEN 1 END) odds_n, count(CASE WHEN odds > 1 AND won THEN 1 END) odds_wins, sum(expw) exp_wins FROM s WHERE driver_id IS NOT NULL GROUP BY ALL)"
 
 
 @query(f"WITH {S}, {_DAILY} SELECT driver_id, race_date, (sum(starts) OVER w)::BIGINT starts, (sum(wins) OVER w)::BIGINT wins, (sum(gals) OVER w)::BIGINT gals FROM dd WINDOW w AS (PARTITION BY driver_id {DAY} {PRIOR})")
 def person_asof_career(spark: SparkSession, d: str) -> DataFrame:
-    return asof.cumulative(starts(spark, d), ["driver_id"], "race_date", {k: PERSON[k] for k in ("starts", "wins", "gals")})
+    return asof.cumulative(starts(spark, d), ["driver_id"], "race_date", {k: _person()[k] for k in ("starts", "wins", "gals")})
 
 
 @query(f"WITH {S}, {_DAILY} SELECT driver_id, race_date, (sum(starts) OVER w)::BIGINT starts, (sum(wins) OVER w)::BIGINT wins, (sum(odds_n) OVER w)::BIGINT odds_n, round((sum(odds_wins) OVER w - sum(exp_wins) OVER w) / nullif(sum(odds_n) OVER w, 0), 6) odds_form FROM dd WINDOW w AS (PARTITION BY driver_id {DAY} RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)")
 def person_asof_30d(spark: SparkSession, d: str) -> DataFrame:
-    t = asof.trailing_days(starts(spark, d), ["driver_id"], "race_date", {k: PERSON[k] for k in ("starts", "wins", "odds_n", "odds_wins", "exp_wins")}, 30)
+    t = asof.trailing_days(starts(spark, d), ["driver_id"], "race_date", {k: _person()[k] for k in ("starts", "wins", "odds_n", "odds_wins", "exp_wins")}, 30)
     return t.withColumn("gain", F.col("odds_wins") - F.col("exp_wins")).select("driver_id", "race_date", "starts", "wins", "odds_n", F.round(rate("gain", "odds_n"), 6).alias("odds_form"))
 
 
@@ -260,8 +265,8 @@ def fx_asof_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {S}, a AS (SELECT entry_id, race_id, (count(CASE WHEN gal THEN 1 END) OVER h)::DOUBLE / nullif(count(*) OVER h, 0) r FROM s WINDOW h AS ({HORSE} {PRIOR})) SELECT entry_id, round((sum(r) OVER f - coalesce(r, 0)) / nullif(count(r) OVER f - (r IS NOT NULL)::INT, 0), 6) field_rate FROM a WINDOW f AS (PARTITION BY race_id)")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count(F.lit(1)).over(H)
-    a = starts(spark, d).select("entry_id", "race_id", (F.count(F.when(F.col("gal"), 1)).over(H).cast("double") / F.when(n != 0, n)).alias("r"))
+    n = F.count(F.lit(1)).over(_prior())
+    a = starts(spark, d).select("entry_id", "race_id", (F.count(F.when(F.col("gal"), 1)).over(_prior()).cast("double") / F.when(n != 0, n)).alias("r"))
     w = Window.partitionBy("race_id")
     others = F.count("r").over(w) - F.col("r").isNotNull().cast("int")
     return a.select("entry_id", F.round((F.sum("r").over(w) - F.coalesce("r", F.lit(0.0))) / F.when(others != 0, others), 6).alias("field_rate"))
@@ -301,8 +306,8 @@ FROM s LEFT JOIN dr ON dr.driver_id = s.driver_id AND dr.race_date = s.race_date
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     s = starts(spark, d)
     last = Window.partitionBy("horse_id").orderBy(*ORDER)
-    n = F.count(F.lit(1)).over(H)
-    share = lambda c: F.round(F.count(F.when(F.col(c), 1)).over(H).cast("double") / F.when(n != 0, n), 6)
+    n = F.count(F.lit(1)).over(_prior())
+    share = lambda c: F.round(F.count(F.when(F.col(c), 1)).over(_prior()).cast("double") / F.when(n != 0, n), 6)
     s = s.withColumns({
         "horse_starts": n, "horse_winrate": share("won"), "horse_galrate": share("gal"), "days_since": F.datediff("race_date", F.lag("race_date").over(last)),
         "gals_last5": F.coalesce(F.sum(F.col("gal").cast("int")).over(before(["horse_id"], ORDER, 5)), F.lit(0)), "starts_90d": F.count(F.lit(1)).over(days_before(["horse_id"], "day", 90)),
