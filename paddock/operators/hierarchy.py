@@ -18,6 +18,8 @@ from paddock.runtime import cut
 
 #: Siblings are split into this many buckets, so that no parent's children meet in one task.
 SIBLING_BUCKETS = 1024
+#: Steps of peeling and of spreading labels planned together before their result is written.
+STEPS = 2
 
 
 def valid_links(nodes: DataFrame, node: str, parents: dict[str, str]) -> DataFrame:
@@ -124,7 +126,7 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
         while True:  # peel
             had = alive.seen["rows"]
             kept = alive.df
-            for _ in range(2):
+            for _ in range(STEPS):
                 below = kept.join(kept.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
                 kept = below.join(kept.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent")
             before, alive = alive, cut(kept, "peeled")
@@ -136,8 +138,10 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
         # the smallest id that reaches each node, by its children's word
         colour = cut(alive.df.select("node").distinct().withColumn("colour", F.col("node")), "colour", total=F.sum("node"))
         while True:
-            heard = alive.df.join(colour.df, "node").groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("said"))
-            after = colour.df.join(heard, "node", "left").select("node", F.least("colour", "said").alias("colour"))
+            after = colour.df
+            for _ in range(STEPS):
+                heard = alive.df.join(after, "node").groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("said"))
+                after = after.join(heard, "node", "left").select("node", F.least("colour", "said").alias("colour"))
             total, colour = colour.seen["total"], cut(after, "colour", total=F.sum("colour"))
             if colour.seen["total"] == total:
                 break
