@@ -8,8 +8,10 @@ logarithm of the height, and they touch only inner nodes: leaves take theirs fro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ from paddock.runtime import cut
 
 #: Siblings are split into this many buckets, so that no parent's children meet in one task.
 SIBLING_BUCKETS = 1024
-#: Steps of peeling and of spreading labels planned together before their result is written.
+#: Steps of peeling planned together before their result is written.
 STEPS = 2
+#: Links that one task may finish, after so many rounds of peeling at least.
+SMALL_REST, PEELED_FIRST = 100_000, 2
 
 
 def valid_links(nodes: DataFrame, node: str, parents: dict[str, str]) -> DataFrame:
@@ -111,7 +115,52 @@ def descendants(forest: DataFrame) -> DataFrame:
     return found.select("tree", "ancestor", "node", (F.col("depth") - F.col("top")).alias("steps"))
 
 
-def cyclic_groups(links: DataFrame) -> DataFrame:
+def _strong_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(node, colour)`` for the nodes of a small graph: the smallest id each leads to and back from.
+
+    One depth-first walk numbers the nodes and closes a part whenever a walk's low point is its own.
+    """
+    parts = [*batches]
+    if not parts:
+        return
+    whole = pd.concat(parts)
+    up: dict[int, list[int]] = {}
+    for a, b in zip(whole.node.tolist(), whole.parent.tolist(), strict=True):
+        up.setdefault(a, []).append(b)
+    number, low, place, open_nodes, is_open, out = {}, {}, {}, [], set(), []
+    for start in up:
+        if start in number:
+            continue
+        walk = [(start, iter(up[start]))]
+        number[start] = low[start] = len(number)
+        place[start] = len(open_nodes)
+        open_nodes.append(start)
+        is_open.add(start)
+        while walk:
+            at, rest = walk[-1]
+            step = next(rest, None)
+            if step is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[at])
+                if low[at] == number[at]:
+                    part = open_nodes[place[at] :]
+                    del open_nodes[place[at] :]
+                    is_open.difference_update(part)
+                    first = min(part)
+                    out += [(x, first) for x in part]
+            elif step not in number:
+                number[step] = low[step] = len(number)
+                place[step] = len(open_nodes)
+                open_nodes.append(step)
+                is_open.add(step)
+                walk.append((step, iter(up.get(step, ()))))
+            elif step in is_open:
+                low[at] = min(low[at], number[step])
+    yield pd.DataFrame(out, columns=["node", "colour"])
+
+
+def cyclic_groups(links: DataFrame, small: int = SMALL_REST) -> DataFrame:
     """Nodes that are their own ancestors over any mix of ``links`` ``(node, parent)``.
 
     Returns ``(node, root, members)``: the smallest id and the number of nodes that are at once
@@ -119,12 +168,19 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
     peeled from both ends first; what stays is split by the smallest id that reaches each node,
     and in each part those that lead back to that id form one group. A node between two cycles is no
     group, a node linked to itself is.
+
+    Once peeling has left at most ``small`` links, the rest is finished in one task, whose size
+    that count bounds; a larger rest goes on in joins. Both give the same rows.
     """
     alive = cut(links.select("node", "parent").distinct(), "links")
-    groups = []
+    kind = alive.df.schema["node"].dataType.simpleString()
+    groups, rounds = [], 0
     while True:
         while True:  # peel
             had = alive.seen["rows"]
+            if rounds >= PEELED_FIRST and had <= small:
+                break
+            rounds += 1
             kept = alive.df
             for _ in range(STEPS):
                 below = kept.join(kept.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
@@ -133,15 +189,16 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
             before.drop()
             if alive.seen["rows"] in (0, had):
                 break
+        if rounds >= PEELED_FIRST and alive.seen["rows"] <= small:
+            groups.append(alive.df.repartition(1).mapInPandas(_strong_parts, f"node {kind}, colour {kind}"))
+            break
         if not alive.seen["rows"]:
             break
         # the smallest id that reaches each node, by its children's word
         colour = cut(alive.df.select("node").distinct().withColumn("colour", F.col("node")), "colour", total=F.sum("node"))
         while True:
-            after = colour.df
-            for _ in range(STEPS):
-                heard = alive.df.join(after, "node").groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("said"))
-                after = after.join(heard, "node", "left").select("node", F.least("colour", "said").alias("colour"))
+            heard = alive.df.join(colour.df, "node").groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("said"))
+            after = colour.df.join(heard, "node", "left").select("node", F.least("colour", "said").alias("colour"))
             total, colour = colour.seen["total"], cut(after, "colour", total=F.sum("colour"))
             if colour.seen["total"] == total:
                 break
