@@ -68,3 +68,34 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     last = max((out / "0", out / "1"), key=lambda p: len(list(p.glob("*.parquet"))) and max(f.stat().st_mtime for f in p.glob("*.parquet")))
     want = {r.k: r.v for r in spark.read.parquet(str(src)).groupBy("k").agg(F.max_by("v", "t").alias("v")).collect()}
     assert {r.k: r.v for r in spark.read.parquet(str(last)).collect()} == want
+
+
+def test_increment_equals_recompute(spark):
+    from paddock.plans import increment
+
+    cols = "entry_id int, x int, y_win boolean, y_top3 boolean"
+    stored = spark.createDataFrame([(1, 5, None, None), (2, 6, True, True)], cols)
+    computed = spark.createDataFrame([(1, 5, False, True), (2, 6, True, True), (3, 7, None, None)], cols)
+    once = increment.refreshed(stored, computed)
+    assert set(map(tuple, once.collect())) == set(map(tuple, computed.collect()))
+    assert set(map(tuple, increment.refreshed(once, computed).collect())) == set(map(tuple, computed.collect()))
+    assert [r.entry_id for r in increment.late_labels(stored, computed).collect()] == [1]
+
+
+def test_pipeline(spark):
+    from paddock.plans.pipeline import Phase, run
+
+    done = []
+    phases = [Phase("a", lambda: spark.range(3), lambda df: done.append("a")), Phase("b", lambda: spark.range(1), lambda df: done.append("b")), Phase("c", lambda: 1 / 0), Phase("d", lambda: spark.range(9))]
+    dry = run(phases, skip={"b"})
+    assert dry.rows == {"a": 3} and dry.failed.startswith("c: ") and done == []
+    run(phases, execute=True)
+    assert done == ["a", "b"]
+
+
+def test_sql_functions(spark):
+    from paddock.functions.sql import register
+
+    assert "normalize_name" in register(spark)
+    r = spark.sql("SELECT km_time_code('*15,3ag') a, money_kr('84.700 kr') b, distance_band(2140) c, normalize_name('Kjær* (FR)') d, normalize_name(NULL) e, km_time_code('ug') f").first()
+    assert tuple(r) == (1153, 84700, "m", "KJAER", "", None)
