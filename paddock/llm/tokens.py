@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import os
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
+from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,14 +19,16 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str):
-    """The tokenizer of a vocabulary file, loaded once a worker."""
+    """The tokenizer of a vocabulary file, loaded once a worker process."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    held = sys.modules.setdefault("_paddock_tokenizers", ModuleType("_paddock_tokenizers")).__dict__
+    if path not in held:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        held[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return held[path]
 
 
 def counted(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
