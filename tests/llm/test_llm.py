@@ -106,8 +106,8 @@ def test_linkage(spark):
 
 
 def test_linkage_splits_large_blocks(spark, monkeypatch):
-    rows = [(i, "Same Name", dt.date(2000 + i % 20, 3, 4), "S", "SE", f"Sire{chr(65 + i % 26)}x", "Dam", None, "st", None, None) for i in range(60)]
-    raw = [(100 + i, "hvt", "Same Name", f"04.03.{2000 + i % 20}", "Stute", "SE", f"Sire{chr(65 + i % 26)}x", "Dam") for i in range(60)]
+    rows = [(i, "Same Name", dt.date(2000 + i % 20, 3, 4), "S", "SE", f"Sire{chr(65 + i % 26)}x", f"Dam{chr(65 + i % 26)}{chr(65 + i // 26)}", None, "st", None, None) for i in range(60)]
+    raw = [(100 + i, "hvt", "Same Name", f"04.03.{2000 + i % 20}", "Stute", "SE", f"Sire{chr(65 + i % 26)}x", f"Dam{chr(65 + i % 26)}{chr(65 + i // 26)}") for i in range(60)]
     h, r = linkage.horse_traits(spark.createDataFrame(rows, HORSE)), linkage.raw_traits(spark.createDataFrame(raw, RAW))
     (a, _), (b, _) = linkage.profiles(h), linkage.profiles(r)
     whole = set(linkage.candidates(a, b).collect())
