@@ -214,3 +214,22 @@ def test_levels_on_held_out_judgements(spark, small):
 def test_repaired_text():
     assert reading.repaired("Der Pfleger kam zurÃ¼ck. Dotierung 46.000 â‚¬") == "Der Pfleger kam zurück. Dotierung 46.000 €"
     assert reading.repaired("Ã ok\nfine é") == "Ã ok\nfine é"
+
+
+def test_linkage_large_blocks_lose_no_pair(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows, raw = [], []
+    for i in range(60):
+        born, sire, dam = dt.date(2000 + i % 5, 1 + i % 12, 2 + i % 20), rnd.choice(["Karlo", "Mirabell", "Tesoro"]) + chr(97 + i % 9), rnd.choice(["Lumina", "Rosetta"]) + chr(97 + i % 7)
+        rows.append((i, "Same Name", born, "S", "SE", sire, dam, None, "st", None, None))
+        said = [(born + dt.timedelta(1)).strftime("%d.%m.%Y"), str(born.year), born.strftime("%d.%m.%Y"), None][i % 4]  # a day off, the year only, right, missing
+        raw.append((100 + i, "hvt", "Same Name", said, "Stute", "SE", [sire[:-1], sire[:-3], sire][i % 3], [dam[:2] + dam[3:], None, dam][i % 3]))
+    rows += [(200 + i, f"Other{chr(97 + i)}name", dt.date(1990 + i, 5, 6), "H", "SE", "Tesoro", "Rosetta", None, "st", None, None) for i in range(9)]
+    raw += [(300 + i, "hvt", f"Other{chr(97 + i)}nam", f"07.05.{1990 + i}", "Hengst", "SE", "Tesoro", "Rosetta") for i in range(9)]
+    h, r = linkage.horse_traits(spark.createDataFrame(rows, HORSE)), linkage.raw_traits(spark.createDataFrame(raw, RAW))
+    (a, _), (b, _) = linkage.profiles(h), linkage.profiles(r)
+    seen = lambda: sorted(tuple(x) for x in linkage.scored(a, b).select("l", "r", F.round("p", 6)).collect())
+    whole = seen()
+    for name, value in (("BLOCK_PAIRS", 10), ("SALT_PAIRS", 50), ("MOST_SALTS", 4)):
+        monkeypatch.setattr(linkage, name, value, raising=False)
+    assert seen() == whole and len({x[:2] for x in whole}) == len(whole)
