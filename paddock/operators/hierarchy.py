@@ -24,6 +24,8 @@ SIBLING_BUCKETS = 1024
 STEPS = 2
 #: Links that one task may finish, after so many rounds of peeling at least.
 SMALL_REST, PEELED_FIRST = 100_000, 2
+#: Links that every task may hold, and the tasks that walk them.
+FEW_LINKS, WALKS = 1_000_000, 48
 
 
 def valid_links(nodes: DataFrame, node: str, parents: dict[str, str]) -> DataFrame:
@@ -115,6 +117,53 @@ def descendants(forest: DataFrame) -> DataFrame:
     return found.select("tree", "ancestor", "node", (F.col("depth") - F.col("top")).alias("steps"))
 
 
+def all_descendants(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """All distinct pairs ``(ancestor, node)`` over any mix of ``links`` ``(node, parent)``.
+
+    Cycles are no hindrance: a node on one is its own descendant, and what hangs below it is found.
+    Up to ``few`` links go whole to every task, which walks down from its share of the ancestors;
+    more go on in joins, one step a round from the pairs found last. Both give the same rows.
+    """
+    alive = cut(links.select("node", "parent").distinct(), "links")
+    kind = alive.df.schema["node"].dataType.simpleString()
+    if alive.seen["rows"] <= few:
+        whole = alive.df.toArrow()
+        nodes, parents = whole["node"].to_numpy(), whole["parent"].to_numpy()
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kids: dict[int, list[int]] = {}
+            for a, b in zip(nodes.tolist(), parents.tolist(), strict=True):
+                kids.setdefault(b, []).append(a)
+            for batch in batches:
+                tops, below = [], []
+                for top in batch.ancestor.tolist():
+                    todo = list(dict.fromkeys(kids[top]))
+                    seen = set(todo)
+                    for x in todo:
+                        for y in kids.get(x, ()):
+                            if y not in seen:
+                                seen.add(y)
+                                todo.append(y)
+                    tops += [top] * len(todo)
+                    below += todo
+                    if len(below) > 200_000:
+                        yield pd.DataFrame({"ancestor": tops, "node": below})
+                        tops, below = [], []
+                yield pd.DataFrame({"ancestor": tops, "node": below})
+
+        tops = alive.df.select(F.col("parent").alias("ancestor")).distinct().repartition(WALKS)
+        return tops.mapInPandas(walk, f"ancestor {kind}, node {kind}")
+    step = alive.df.select(F.col("parent").alias("over"), F.col("node").alias("under"))
+    front = cut(alive.df.select(F.col("parent").alias("ancestor"), "node"), "front")
+    found = [front.df]
+    while front.seen["rows"]:
+        known = reduce(DataFrame.unionByName, found)
+        new = front.df.join(step, F.col("node") == F.col("over")).select("ancestor", F.col("under").alias("node")).distinct()
+        front = cut(new.join(known, ["ancestor", "node"], "left_anti"), "front")
+        found.append(front.df)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _strong_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``(node, colour)`` for the nodes of a small graph: the smallest id each leads to and back from.
 

@@ -42,6 +42,11 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("tree").alias("lineage"), F.col("ancestor").alias("horse_id"), F.col("node").alias("descendant_id"), F.col("steps").alias("n_steps"))
 
 
+def p1_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every descendant of every horse over any mix of both links, on and below cycles too."""
+    return hierarchy.all_descendants(_links(spark, sf_dir)).select(F.col("ancestor").alias("horse_id"), F.col("node").alias("descendant_id"))
+
+
 def _trainer_of(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     """The trainer each horse was known to have on each day asked for."""
     day = lambda c: F.unix_date(F.to_date(c))
@@ -127,4 +132,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """The core training-data queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p3_found, p6_found, p7_found, p7_rolling)}
+    return {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_all_descendants, p3_found, p6_found, p7_found, p7_rolling)}

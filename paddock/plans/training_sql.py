@@ -24,6 +24,10 @@ SELECT nodes.lineage, nodes.node horse_id, nodes.apex root_id, n n_steps, p path
 P1_DESCENDANTS = f"""WITH RECURSIVE {_LINKS}
 SELECT up.lineage, up.apex horse_id, up.node descendant_id, up.n n_steps FROM up JOIN climbed c ON c.lineage = up.lineage AND c.node = up.node"""
 
+P1_ALL_DESCENDANTS = f"""WITH RECURSIVE {_LINKS},
+anc AS (SELECT node a, parent b FROM l UNION SELECT anc.a, l.parent FROM anc JOIN l ON l.node = anc.b)
+SELECT b horse_id, a descendant_id FROM anc"""
+
 P3_FOUND = f"""WITH {_STANDING},
 v AS (SELECT f.entry_id, f.race_date, h.from_date, h.trainer_id, h.to_date,
   row_number() OVER (PARTITION BY f.entry_id, h.from_date ORDER BY h.recorded_at DESC, h.trainer_id DESC NULLS LAST, h.to_date DESC NULLS LAST) rn
@@ -55,4 +59,4 @@ c AS (SELECT trainer_id, unnest(generate_series(min(race_date), (SELECT max(race
 SELECT c.trainer_id, c.race_date, {', '.join(map(_period, (7, 30, 90)))}
 FROM c LEFT JOIN d b ON b.trainer_id = c.trainer_id AND b.race_date BETWEEN c.race_date - 90 AND c.race_date - 1 GROUP BY c.trainer_id, c.race_date"""
 
-SQL = {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_rolling": P7_ROLLING}
+SQL = {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p1_all_descendants": P1_ALL_DESCENDANTS, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_rolling": P7_ROLLING}

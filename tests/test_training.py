@@ -173,3 +173,17 @@ def test_restated(spark):
     P, T = "prize_kr", "time_seconds"
     assert got == {(1, P): 27500, (3, P): 1125, (4, P): 1125, (5, P): 27500, (6, P): 12000, (8, T): 736, (9, T): 736, (11, T): 736, (13, T): 736, (14, T): 739}
     assert units.restated(e.limit(0), fx).count() == 0 and units.restated(e, fx.limit(0)).where("field_name = 'prize_kr'").count() == 3
+
+
+def test_all_descendants_over_both_links_and_below_cycles(spark):
+    rows = [(1, None, None), (2, 1, None), (3, None, 2), (4, 3, 1), (5, 6, None), (6, 5, None), (7, 6, 3), (8, None, 7), (9, 9, None), (10, 99, 9)]
+    up = {r[0]: {x for x in r[1:] if x and x != 99} for r in rows}
+    want, new = set(), {(p, c) for c, ps in up.items() for p in ps}
+    while new:
+        want |= new
+        new = {(p, c) for a, c in want for p in up[a]} - want
+    links = hierarchy.valid_links(horses(spark, rows), "horse_id", TREES)
+    for few in (0, 100):  # by joins alone, and walked in the tasks
+        got = [tuple(r) for r in hierarchy.all_descendants(links, few).collect()]
+        assert set(got) == want and len(got) == len(want) and (1, 3) in want and (5, 8) in want
+    assert hierarchy.all_descendants(links.limit(0)).count() == 0
