@@ -275,10 +275,22 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {S}, {_DAILY}, pk AS (SELECT DISTINCT driver_id, race_date + 3 as_of FROM s WHERE driver_id IS NOT NULL AND day(race_date) <= 5)
 SELECT pk.driver_id, pk.as_of, coalesce(sum(dd.starts), 0)::BIGINT starts, coalesce(sum(dd.wins), 0)::BIGINT wins FROM pk LEFT JOIN dd ON dd.driver_id = pk.driver_id AND dd.race_date >= pk.as_of - 30 AND dd.race_date < pk.as_of GROUP BY ALL""")
 def asof_pairs(spark: SparkSession, d: str) -> DataFrame:
-    from paddock.operators.rolling import trailing
+    s = starts(spark, d)
+    return _asof_pairs(s, s.where("day(race_date) <= 5"))
 
+
+@query(f"""WITH {S}, {_DAILY}, pk AS (SELECT DISTINCT driver_id, race_date + 3 as_of FROM s WHERE driver_id IS NOT NULL AND race_date IS NOT NULL)
+SELECT pk.driver_id, pk.as_of, coalesce(sum(dd.starts), 0)::BIGINT starts, coalesce(sum(dd.wins), 0)::BIGINT wins FROM pk LEFT JOIN dd ON dd.driver_id = pk.driver_id AND dd.race_date >= pk.as_of - 30 AND dd.race_date < pk.as_of GROUP BY ALL""")
+def asof_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for every driver and race day."""
     s = starts(spark, d)
-    pk = s.where("driver_id is not null and day(race_date) <= 5").select("driver_id", F.date_add("race_date", 3).alias("race_date")).distinct()
+    return _asof_pairs(s, s.where("race_date is not null"))
+
+
+def _asof_pairs(s: DataFrame, asked: DataFrame) -> DataFrame:
+    from paddock.operators.rolling import trailing
+
+    pk = asked.where("driver_id is not null").select("driver_id", F.date_add("race_date", 3).alias("race_date")).distinct()
     y = asof.daily(s, ["driver_id"], "race_date", {"starts": F.count(F.lit(1)), "wins": F.count(F.when(F.col("won"), 1))})
     t = trailing(pk, y, "driver_id", "race_date", ["starts", "wins"], [30])
     return t.select("driver_id", F.col("race_date").alias("as_of"), F.coalesce("starts_30", F.lit(0)).alias("starts"), F.coalesce("wins_30", F.lit(0)).alias("wins"))

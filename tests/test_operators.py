@@ -99,3 +99,15 @@ def test_sql_functions(spark):
     assert "normalize_name" in register(spark)
     r = spark.sql("SELECT km_time_code('*15,3ag') a, money_kr('84.700 kr') b, distance_band(2140) c, normalize_name('Kjær* (FR)') d, normalize_name(NULL) e, km_time_code('ug') f").first()
     assert tuple(r) == (1153, 84700, "m", "KJAER", "", None)
+
+
+def test_asof_pairs_on_every_day(spark, small):
+    from paddock.plans.features import asof_pairs_all, starts
+
+    s = starts(spark, small).where("driver_id is not null and race_date is not null").select("driver_id", "race_date", "won").collect()
+    want = {(k.driver_id, k.race_date + dt.timedelta(3)) for k in s}
+    got = {(r.driver_id, r.as_of): (r.starts, r.wins) for r in asof_pairs_all(spark, small).collect()}
+    assert set(got) == want and any(day.day > 8 for _, day in want)
+    for who, day in sorted(want)[::20]:
+        near = [k for k in s if k.driver_id == who and 1 <= (day - k.race_date).days <= 30]
+        assert got[who, day] == (len(near), sum(bool(k.won) for k in near))
