@@ -55,6 +55,22 @@ def siblings(spark: SparkSession, d: str) -> DataFrame:
     return both.select("horse_id", "sibling_id", kind.alias("kind"))
 
 
+@query("""WITH f AS (SELECT a.horse_id, b.horse_id sibling_id FROM horse a JOIN horse b ON a.sire_id = b.sire_id AND a.horse_id <> b.horse_id),
+m AS (SELECT a.horse_id, b.horse_id sibling_id FROM horse a JOIN horse b ON a.dam_id = b.dam_id AND a.horse_id <> b.horse_id),
+x AS (SELECT coalesce(f.horse_id, m.horse_id) horse_id, CASE WHEN f.horse_id IS NULL THEN 'maternal' WHEN m.horse_id IS NULL THEN 'paternal' ELSE 'full' END kind FROM f FULL JOIN m ON f.horse_id = m.horse_id AND f.sibling_id = m.sibling_id)
+SELECT h.horse_id, count(CASE WHEN kind = 'full' THEN 1 END) n_full, count(CASE WHEN kind = 'paternal' THEN 1 END) n_paternal, count(CASE WHEN kind = 'maternal' THEN 1 END) n_maternal FROM horse h LEFT JOIN x USING (horse_id) GROUP BY h.horse_id""")
+def sibling_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Full, paternal and maternal siblings of every horse, from the foals of each parent and pair of parents."""
+    h = table(spark, d, "horse").select("horse_id", "sire_id", "dam_id")
+
+    def others(rows: DataFrame, parents: list[str], name: str) -> DataFrame:
+        return rows.join(h.dropna(subset=parents).groupBy(*parents).agg((F.count(F.lit(1)) - 1).alias(name)), parents, "left")
+
+    n = others(others(others(h, ["sire_id"], "by_sire"), ["dam_id"], "by_dam"), ["sire_id", "dam_id"], "both")
+    known = lambda c: F.coalesce(c, F.lit(0))
+    return n.select("horse_id", known("both").alias("n_full"), (known("by_sire") - known("both")).alias("n_paternal"), (known("by_dam") - known("both")).alias("n_maternal"))
+
+
 @query("""WITH k AS (SELECT sire_id parent, 'sire' AS "role", horse_id, dam_id other FROM horse WHERE sire_id IS NOT NULL UNION ALL SELECT dam_id, 'dam', horse_id, sire_id FROM horse WHERE dam_id IS NOT NULL)
 SELECT parent, "role", count(*) foals, count(DISTINCT other) partners, min(horse_id) first_foal FROM k GROUP BY ALL""")
 def offspring_edges(spark: SparkSession, d: str) -> DataFrame:

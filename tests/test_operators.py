@@ -111,3 +111,12 @@ def test_asof_pairs_on_every_day(spark, small):
     for who, day in sorted(want)[::20]:
         near = [k for k in s if k.driver_id == who and 1 <= (day - k.race_date).days <= 30]
         assert got[who, day] == (len(near), sum(bool(k.won) for k in near))
+
+
+def test_sibling_counts_of_every_horse(spark, tmp_path):
+    from paddock.plans.browse import sibling_counts
+
+    rows = [(1, 100, 200), (2, 100, 200), (3, 100, 201), (4, 101, 200), (5, None, 200), (6, 100, None), (7, None, None)]
+    spark.createDataFrame(rows, "horse_id int, sire_id int, dam_id int").write.parquet(str(tmp_path / "horse.parquet"))
+    got = {tuple(r) for r in sibling_counts(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 2, 2), (2, 1, 2, 2), (3, 0, 3, 0), (4, 0, 0, 3), (5, 0, 0, 3), (6, 0, 3, 0), (7, 0, 0, 0)}
