@@ -233,3 +233,19 @@ def test_linkage_large_blocks_lose_no_pair(spark, monkeypatch):
     for name, value in (("BLOCK_PAIRS", 10), ("SALT_PAIRS", 50), ("MOST_SALTS", 4)):
         monkeypatch.setattr(linkage, name, value, raising=False)
     assert seen() == whole and len({x[:2] for x in whole}) == len(whole)
+
+
+def test_linkage_pair_with_only_a_common_name(spark, monkeypatch):
+    """It stays apart while the model could not take it for a match, and is put together as soon as it could."""
+    rows = [(i, "Same Name", dt.date(1960 + i % 50, 1 + i % 12, 2 + i % 20), "S", "SE", f"{chr(65 + i % 26)}ire{chr(97 + i % 26)}", f"{chr(65 + i % 25)}am{chr(97 + i % 25)}", None, "st", None, None) for i in range(50)]
+    rows.append((999, "Same Name", None, None, None, None, None, None, "st", None, None))
+    raw = [(100 + i, "hvt", "Same Name", f"0{1 + i % 9}.0{1 + i % 9}.{1900 + i}", "Stute", "SE", f"Zz{chr(97 + i)}qx", f"Ww{chr(97 + i)}vk") for i in range(20)] + [(888, "hvt", "Same Name", None, None, None, None, None)]
+    (a, ai), (b, bi) = linkage.profiles(linkage.horse_traits(spark.createDataFrame(rows, HORSE))), linkage.profiles(linkage.raw_traits(spark.createDataFrame(raw, RAW)))
+    monkeypatch.setattr(linkage, "BLOCK_PAIRS", 10)
+    monkeypatch.setattr(linkage, "COMMON_PAIRS", 10)
+    ids = lambda pairs: {(x.h, x.r) for x in pairs.join(ai.select(F.col("pid").alias("l"), F.col("id").alias("h")), "l").join(bi.select(F.col("pid").alias("r"), F.col("id").alias("r2")), "r").select("h", F.col("r2").alias("r")).collect()}
+    assert (999, 888) in ids(linkage.scored(a, b, 0.0))
+    assert len(ids(linkage.scored(a, b, 0.0))) == len(rows) * len(raw)
+    assert len(ids(linkage.scored(a, b, 0.9))) < len(rows) * len(raw) / 4
+    every = linkage._accepted(linkage.Model(np.full(5, 0.2), [np.log(np.full((n - 1, 5), 1 / (n - 1))) for n in linkage.LEVELS.values()]), ["n"], 0.0)
+    assert every == {("n", k) for k in range(32)}
