@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from paddock.functions import parse
+
 #: Name, parameter and body; the bodies are expressions, so Catalyst inlines and optimises them.
+_TIME = parse.KM_TIME.replace("\\", "\\\\")
+_TIME_PART = "try_cast(nullif(regexp_extract(trim(t), '" + _TIME + "', {}), '') AS INT)"
 FUNCTIONS = {
-    "km_time_code": ("t STRING", "INT", r"coalesce(try_cast(nullif(regexp_extract(t, '^\\*?\\s*(?:(\\d+)[.,])?(\\d{1,2}),(\\d)[a-zA-Z]*\\s*$', 1), '') AS INT), 1) * 1000 + try_cast(nullif(regexp_extract(t, '^\\*?\\s*(?:(\\d+)[.,])?(\\d{1,2}),(\\d)[a-zA-Z]*\\s*$', 2), '') AS INT) * 10 + try_cast(nullif(regexp_extract(t, '^\\*?\\s*(?:(\\d+)[.,])?(\\d{1,2}),(\\d)[a-zA-Z]*\\s*$', 3), '') AS INT)"),
-    "money_kr": ("t STRING", "BIGINT", r"try_cast(nullif(regexp_replace(t, '\\D', ''), '') AS BIGINT)"),
+    "km_time_code": ("t STRING", "INT", f"coalesce({_TIME_PART.format(1)}, 1) * 1000 + {_TIME_PART.format(2)} * 10 + {_TIME_PART.format(3)}"),
+    "money_kr": ("t STRING", "BIGINT", r"try_cast(nullif(regexp_replace(regexp_extract(replace(replace(t, '\u00a0', ' '), '.', ' '), '[\\d\\s]+', 0), '\\s', ''), '') AS BIGINT)"),
     "distance_band": ("m INT", "STRING", "CASE WHEN m IS NULL THEN NULL WHEN m <= 1700 THEN 's' WHEN m <= 2250 THEN 'm' ELSE 'l' END"),
 }
 
 
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to ``spark.sql``; ``normalize_name`` comes with them."""
-    from paddock.functions import parse
-
     for name, (arg, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arg}) RETURNS {kind} RETURN {body}")
-    two = "t"
+    two = "regexp_replace(t, '\\\\p{Mn}', '')"
     for a, b in parse.DOUBLED:
         two = f"replace({two}, '{a}', '{b}')"
-    bare = f"regexp_replace(translate({two}, '{parse.MARKED}', '{parse.PLAIN}'), '[*·]+|\\\\s*\\\\([A-Z]{{1,3}}\\\\)\\\\s*$|\\\\s*\\\\?\\\\s*$', '')"
+    suffix = parse.NAME_SUFFIX.replace("\\", "\\\\")
+    bare = f"regexp_replace(translate({two}, '{parse.MARKED}', '{parse.PLAIN}'), '{suffix}', '')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_name(t STRING) RETURNS STRING RETURN coalesce(regexp_replace(upper(trim({bare})), '\\\\s+', ' '), '')")
     return [*FUNCTIONS, "normalize_name"]

@@ -11,7 +11,7 @@ from paddock.plans.base import E, fact, query
 from paddock.runtime import table
 
 
-@query(r"SELECT DISTINCT time_text, CASE WHEN regexp_matches(time_text, '^\*?\s*(?:(\d+)[.,])?(\d{1,2}),(\d)[a-zA-Z]*\s*$') THEN coalesce(TRY_CAST(nullif(regexp_extract(time_text, '^\*?\s*(?:(\d+)[.,])?(\d{1,2}),(\d)', 1), '') AS INT), 1) * 1000 + regexp_extract(time_text, '^\*?\s*(?:(\d+)[.,])?(\d{1,2}),(\d)', 2)::INT * 10 + regexp_extract(time_text, '^\*?\s*(?:(\d+)[.,])?(\d{1,2}),(\d)', 3)::INT END AS code FROM entry WHERE time_text IS NOT NULL")
+@query(r"SELECT DISTINCT time_text, CASE WHEN regexp_matches(trim(time_text), '^\*?(?:(\d+)[.,])?(\d{1,2}),(\d)[a-zA-Z]*$') THEN coalesce(TRY_CAST(nullif(regexp_extract(trim(time_text), '^\*?(?:(\d+)[.,])?(\d{1,2}),(\d)', 1), '') AS INT), 1) * 1000 + regexp_extract(trim(time_text), '^\*?(?:(\d+)[.,])?(\d{1,2}),(\d)', 2)::INT * 10 + regexp_extract(trim(time_text), '^\*?(?:(\d+)[.,])?(\d{1,2}),(\d)', 3)::INT END AS code FROM entry WHERE time_text IS NOT NULL")
 def parse_km_time(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entry").where("time_text is not null").select("time_text").distinct().select("time_text", parse.km_time(F.col("time_text")).alias("code"))
 
@@ -19,11 +19,12 @@ def parse_km_time(spark: SparkSession, d: str) -> DataFrame:
 _PRIZE = """p AS (SELECT entry_id, coalesce(json_extract_string(source_data, '$.st.prize_txt'), json_extract_string(source_data, '$.atg.prize')) txt FROM (SELECT * FROM entry WHERE json_valid(source_data) QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY last_updated_at DESC) = 1))"""
 
 
-@query(f"WITH {_PRIZE} SELECT txt, TRY_CAST(nullif(regexp_replace(txt, '\\D', '', 'g'), '') AS BIGINT) kr, count(*) n FROM p WHERE txt LIKE '%kr' GROUP BY ALL")
+@query(f"WITH {_PRIZE} SELECT txt, TRY_CAST(nullif(regexp_replace(regexp_extract(replace(replace(txt, chr(160), ' '), '.', ' '), '[\\d\\s]+'), '\\s', '', 'g'), '') AS BIGINT) kr, count(*) n FROM p WHERE txt IS NOT NULL GROUP BY ALL")
 def parse_money(spark: SparkSession, d: str) -> DataFrame:
+    """First amount in every prize text of the two sources that write one."""
     txt = F.coalesce(F.get_json_object("source_data", "$.st.prize_txt"), F.get_json_object("source_data", "$.atg.prize"))
     e = table(spark, d, "entry").where("source_data is not null").groupBy("entry_id").agg(F.max_by("source_data", "last_updated_at").alias("source_data"))
-    return e.select(txt.alias("txt")).where("txt like '%kr'").groupBy("txt", parse.money_kr(F.col("txt")).alias("kr")).agg(F.count(F.lit(1)).alias("n"))
+    return e.select(txt.alias("txt")).where("txt is not null").groupBy("txt", parse.money_kr(F.col("txt")).alias("kr")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"SELECT doc_id, i::INT AS line, TRY_CAST(regexp_extract(x, '(\d+)/(\d+)', 1) AS INT) AS position, TRY_CAST(regexp_extract(x, '(\d+)/(\d+)', 2) AS INT) AS distance FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) i, unnest(l) x FROM (SELECT doc_id, regexp_extract_all(text, '\d+/\d{4}') l FROM documents))")
@@ -32,10 +33,10 @@ def parse_position(spark: SparkSession, d: str) -> DataFrame:
     found = F.expr("regexp_extract_all(text, '\\\\d+/\\\\d{4}', 0)")
     each = table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("i", "x"))
     p = parse.position_distance(F.col("x"))
-    return each.select("doc_id", (F.col("i") + 1).alias("line"), F.coalesce(p["position"], F.lit(0)).alias("position"), p["distance"].alias("distance"))
+    return each.select("doc_id", (F.col("i") + 1).alias("line"), p["position"].alias("position"), p["distance"].alias("distance"))
 
 
-@query("SELECT DISTINCT sex_text, CASE lower(trim(sex_text)) WHEN 'mare' THEN 'S' WHEN 'f' THEN 'S' WHEN 'stallion' THEN 'H' WHEN 'h' THEN 'H' WHEN 'gelding' THEN 'V' WHEN 'g' THEN 'V' END sex FROM horse_raw")
+@query("SELECT DISTINCT sex_text, CASE WHEN lower(trim(sex_text)) IN ('mare', 'sto', 'femelle', 'f') THEN 'S' WHEN lower(trim(sex_text)) IN ('stallion', 'hingst', 'male', 'mâle', 'entier') THEN 'H' WHEN lower(trim(sex_text)) IN ('gelding', 'valack', 'hongre', 'g', 'v') THEN 'V' END sex FROM horse_raw")
 def parse_sex(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "horse_raw").select("sex_text").distinct().select("sex_text", parse.sex_hvs(F.col("sex_text")).alias("sex"))
 

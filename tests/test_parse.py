@@ -65,7 +65,7 @@ def test_keys_and_names(spark):
     df = spark.createDataFrame([("fr", "Indy Rock", "Aubrion du Gers", "AUBRION DU GERS (FR)"), (None, "A", "AUBRION", "Aubrion"), ("FR", "", "Foo (SE)", "FOO")], "c string, n string, a string, b string")
     rows = df.select(p.synth_id(F.col("c"), F.col("n")).alias("k"), p.better_name(F.col("a"), F.col("b")).alias("m")).collect()
     assert [r.k for r in rows] == ["x:FR:INDY ROCK", "x:??:A", None]
-    assert [r.m for r in rows] == ["Aubrion du Gers (FR)", "Aubrion", "Foo (SE)"]
+    assert [r.m for r in rows] == ["Aubrion du Gers (FR)", "Aubrion", "Foo"]
 
 
 @pytest.mark.parametrize(("s", "want"), [(70.9, "10,9"), (68.0, "08,0"), (59.5, "59,5"), (120.0, "2'00\"0"), (0.0, None)])
@@ -75,7 +75,7 @@ def test_swedish_time(spark, s, want):
 
 def test_the_rest(spark):
     assert one(spark, p.country, " se ") == "SE" and one(spark, p.country, "SWE") is None and one(spark, p.country, "1A") is None
-    assert [one(spark, p.sex_hvs, x) for x in ("mare", "mâle", "hongre", "g", "q")] == ["S", "H", "V", "V", None]
+    assert [one(spark, p.sex_hvs, x) for x in ("mare", "mâle", "hongre", "g", "m")] == ["S", "H", "V", "V", None]
     assert one(spark, p.german_date, "16.04.2002") == dt.date(2002, 4, 16)
     assert tuple(one(spark, p.placement_split, "35 (8-3-4)")) == (35, 8, 3, 4) and tuple(one(spark, p.placement_split, "12")) == (12, None, None, None)
     assert one(spark, p.rotated_name, "Goop Björn") == "Björn Goop"
