@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing (tests on one machine) a private folder is made and set.
+    Where the setting is missing a private folder is made and set on one machine (tests); on a
+    cluster that is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         now = sc._jsc.sc().getCheckpointDir()
         if now.isDefined():
             return now.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="paddock-")
         sc.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -63,6 +66,16 @@ def cut(df: DataFrame, tag: str, **measures: Column) -> Cut:
     return Cut(spark.read.schema(df.schema).parquet(path), path, seen.get)
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Marks a folder for deletion at exit."""
+    _WRITTEN.append((spark, path))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder now."""
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

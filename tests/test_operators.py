@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from paddock.operators import asof, identity, incremental, ranking
@@ -65,9 +67,20 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     schema = spark.read.parquet(str(src)).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     S.upserts(stream, str(out), ["k"], "t", str(tmp_path / "state"))()
-    last = max((out / "0", out / "1"), key=lambda p: len(list(p.glob("*.parquet"))) and max(f.stat().st_mtime for f in p.glob("*.parquet")))
     want = {r.k: r.v for r in spark.read.parquet(str(src)).groupBy("k").agg(F.max_by("v", "t").alias("v")).collect()}
-    assert {r.k: r.v for r in spark.read.parquet(str(last)).collect()} == want
+    assert {r.k: r.v for r in S.current(spark, str(out), ["k"], "t").collect()} == want
+    assert {r.k: r.v for r in spark.read.parquet(S.compacted(spark, str(out), ["k"], "t")).collect()} == want
+
+
+def test_shared_folder_is_not_made_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from paddock import runtime
+
+    none = N(isDefined=lambda: False)
+    sc = N(getConf=lambda: {}, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)), master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(N(sparkContext=sc, conf=N(get=lambda k, default: default)))
 
 
 def test_increment_equals_recompute(spark):
