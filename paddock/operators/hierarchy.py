@@ -1,31 +1,33 @@
 """Parent-child links as nested-set forests, and the cycles that are no forest.
 
 Sizes of subtrees are summed upward, sibling ranges are allocated downward by prefix sums, and a
-node's range then holds exactly its descendants. Nodes whose climb the upward pass never finishes
-hang on cycles. Both passes double the distance they span in each round, so their number is the
-logarithm of the height, and they touch only inner nodes: leaves take theirs from the parent.
+node's range then holds exactly its descendants; roots and depths come down with the ranges. Nodes
+whose climb the upward pass never finishes hang on cycles. Both passes double the distance they span
+in each round, so their number is the logarithm of the height, and they touch only inner nodes:
+leaves take theirs from the parent.
+
+Links of several kinds mixed give nodes more than one parent. There the upward pass is a peeling:
+what no order of work reaches holds the cycles, which are split by the least id leading to and from
+each node; and descendants are gathered downward, a generation a round, once cycles are one node each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators.intervals import stab
-from paddock.runtime import cut
+from paddock.runtime import cut, keep_until_exit, shared_dir
 
 #: Siblings are split into this many buckets, so that no parent's children meet in one task.
 SIBLING_BUCKETS = 1024
 #: Steps of peeling planned together before their result is written.
 STEPS = 2
-#: Links that one task may finish, after so many rounds of peeling at least.
-SMALL_REST, PEELED_FIRST = 100_000, 2
-#: Links that every task may hold, and the tasks that walk them.
-FEW_LINKS, WALKS = 1_000_000, 48
+#: Parts that the children of one parent are spread over where its ancestors are sent to them.
+SENDING_SALTS = 32
 
 
 def valid_links(nodes: DataFrame, node: str, parents: dict[str, str]) -> DataFrame:
@@ -56,18 +58,17 @@ def nested_sets(links: DataFrame, with_path: bool = False) -> DataFrame:
     own = leaves.groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     inner = kids.join(links.withColumnRenamed("parent", "up"), ["tree", "node"], "left").join(own, ["tree", "node"], "left")
     state = inner.select(
-        "tree", "node", "up", F.col("up").alias("parent"), F.coalesce("up", "node").alias("root"),
-        F.col("up").isNotNull().cast("int").alias("depth"), (F.coalesce("n", F.lit(0)) + 1).alias("size"),
+        "tree", "node", "up", F.col("up").alias("parent"), (F.coalesce("n", F.lit(0)) + 1).alias("size"),
     )
     climbing = F.count("up")
     now, open_before = cut(state, "up", climbing=climbing), None
     while now.seen["climbing"] not in (0, open_before):
-        at, above = now.df.alias("a"), now.df.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2")).alias("b")
+        at, above = now.df.alias("a"), now.df.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2")).alias("b")
         below = now.df.where("up is not null").groupBy(F.col("tree").alias("t"), F.col("up").alias("n")).agg(F.sum("size").alias("more")).alias("m")
         met = at.join(below, (F.col("a.tree") == F.col("m.t")) & (F.col("a.node") == F.col("m.n")), "left").drop("t", "n")
-        gained = met.select("tree", "node", "up", "parent", "root", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        gained = met.select("tree", "node", "up", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         rising = gained.where("up is not null").join(above, (F.col("tree") == F.col("b.t")) & (F.col("up") == F.col("b.n")))
-        rising = rising.select("tree", "node", F.col("up2").alias("up"), "parent", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), "size")
+        rising = rising.select("tree", "node", F.col("up2").alias("up"), "parent", "size")
         open_before, before = now.seen["climbing"], now
         now = cut(rising.unionByName(gained.where("up is null")), "up", climbing=climbing)
         before.drop()
@@ -87,14 +88,14 @@ def nested_sets(links: DataFrame, with_path: bool = False) -> DataFrame:
     # a node starts after all that its ancestors and their earlier siblings hold
     offsets = placed.select("tree", "node", "off")
     first = ended.join(offsets, ["tree", "node"]).select(
-        "tree", "node", F.col("parent").alias("up"), "parent", "root", "depth", "size",
+        "tree", "node", F.col("parent").alias("up"), "parent", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth"), "size",
         (F.col("off") + F.col("parent").isNotNull().cast("int")).alias("start"), *([F.array("node").alias("path")] if with_path else []),
     )
     down = cut(first, "down", climbing=climbing)
     while down.seen["climbing"]:
-        above = down.df.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("start").alias("start2"), *([F.col("path").alias("path2")] if with_path else [])).alias("b")
+        above = down.df.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("start").alias("start2"), *([F.col("path").alias("path2")] if with_path else [])).alias("b")
         rising = down.df.where("up is not null").alias("a").join(above, (F.col("a.tree") == F.col("b.t")) & (F.col("a.up") == F.col("b.n"))).select(
-            "tree", "node", F.col("up2").alias("up"), "parent", "root", "depth", "size", (F.col("start") + F.col("start2")).alias("start"),
+            "tree", "node", F.col("up2").alias("up"), "parent", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), "size", (F.col("start") + F.col("start2")).alias("start"),
             *([F.concat("path2", "path").alias("path")] if with_path else []),
         )
         before, down = down, cut(rising.unionByName(down.df.where("up is null")), "down", climbing=climbing)
@@ -117,151 +118,118 @@ def descendants(forest: DataFrame) -> DataFrame:
     return found.select("tree", "ancestor", "node", (F.col("depth") - F.col("top")).alias("steps"))
 
 
-def all_descendants(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+def all_descendants(links: DataFrame) -> DataFrame:
     """All distinct pairs ``(ancestor, node)`` over any mix of ``links`` ``(node, parent)``.
 
     Cycles are no hindrance: a node on one is its own descendant, and what hangs below it is found.
-    Up to ``few`` links go whole to every task, which walks down from its share of the ancestors;
-    more go on in joins, one step a round from the pairs found last. Both give the same rows.
+    Each group of :func:`cyclic_groups` is one node while the ancestors come down: a node's are its
+    parents and theirs, sent to it once a link and made distinct there. There is a round for every
+    generation of the longest line; the work is the number of pairs, once a link.
     """
-    alive = cut(links.select("node", "parent").distinct(), "links")
-    kind = alive.df.schema["node"].dataType.simpleString()
-    if alive.seen["rows"] <= few:
-        whole = alive.df.toArrow()
-        nodes, parents = whole["node"].to_numpy(), whole["parent"].to_numpy()
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kids: dict[int, list[int]] = {}
-            for a, b in zip(nodes.tolist(), parents.tolist(), strict=True):
-                kids.setdefault(b, []).append(a)
-            for batch in batches:
-                tops, below = [], []
-                for top in batch.ancestor.tolist():
-                    todo = list(dict.fromkeys(kids[top]))
-                    seen = set(todo)
-                    for x in todo:
-                        for y in kids.get(x, ()):
-                            if y not in seen:
-                                seen.add(y)
-                                todo.append(y)
-                    tops += [top] * len(todo)
-                    below += todo
-                    if len(below) > 200_000:
-                        yield pd.DataFrame({"ancestor": tops, "node": below})
-                        tops, below = [], []
-                yield pd.DataFrame({"ancestor": tops, "node": below})
-
-        tops = alive.df.select(F.col("parent").alias("ancestor")).distinct().repartition(WALKS)
-        return tops.mapInPandas(walk, f"ancestor {kind}, node {kind}")
-    step = alive.df.select(F.col("parent").alias("over"), F.col("node").alias("under"))
-    front = cut(alive.df.select(F.col("parent").alias("ancestor"), "node"), "front")
-    found = [front.df]
-    while front.seen["rows"]:
-        known = reduce(DataFrame.unionByName, found)
-        new = front.df.join(step, F.col("node") == F.col("over")).select("ancestor", F.col("under").alias("node")).distinct()
-        front = cut(new.join(known, ["ancestor", "node"], "left_anti"), "front")
-        found.append(front.df)
-    return reduce(DataFrame.unionByName, found)
-
-
-def _strong_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(node, colour)`` for the nodes of a small graph: the smallest id each leads to and back from.
-
-    One depth-first walk numbers the nodes and closes a part whenever a walk's low point is its own.
+    links = cut(links.select("node", "parent").distinct(), "links").df
+    groups = cut(cyclic_groups(links).where("node is not null").select("node", "root"), "groups").df
+    single = lambda df, c: df.join(groups.select(F.col("node").alias(c), F.col("root").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+    acyclic = cut(single(single(links, "node"), "parent").where("node <> parent").distinct(), "acyclic").df
+    level = _generations(acyclic)
+    # links know the generation of both ends, so that every round reads only its own
+    at = lambda c, name: level.select(F.col("node").alias(c), F.col("level").alias(name))
+    placed = cut(acyclic.join(at("node", "level"), "node").join(at("parent", "above"), "parent"), "placed").df
+    top = placed.agg(F.max("level")).first()[0] or 0
+    spark, box = links.sparkSession, f"{shared_dir(links.sparkSession).rstrip('/')}/paddock/sent-{uuid.uuid4().hex[:12]}"
+    keep_until_exit(spark, box)
+    salt, salts = F.pmod(F.xxhash64("node"), F.lit(SENDING_SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SENDING_SALTS - 1)))
+    kind = links.schema["node"].dataType.simpleString()
+    found = []
+    for now in range(top + 1):
+        if now:  # what was sent to this generation
+            got = spark.read.schema(f"node {kind}, parent {kind}, over array<{kind}>").parquet(*(f"{box}/{i}/level={now}" for i in range(now) if _is_there(spark, f"{box}/{i}/level={now}")))
+            whole = cut(got.groupBy("node").agg(F.array_distinct(F.concat(F.collect_list("parent"), F.flatten(F.collect_list("over")))).alias("over")), "over").df
+            found.append(whole)
+        else:
+            whole = placed.where("above = 0").select(F.col("parent").alias("node")).distinct().withColumn("over", F.array().cast(f"array<{kind}>"))
+        if now < top:
+            down = placed.where(F.col("above") == now).select("node", "parent", "level").withColumn("salt", salt)
+            spread = whole.select(F.col("node").alias("parent"), "over").withColumn("salt", salts)
+            down.join(spread, ["parent", "salt"]).select("node", "parent", "over", "level").write.partitionBy("level").parquet(f"{box}/{now}")
+    pairs = [w.select(F.explode("over").alias("ancestor"), "node") for w in found]
+    inside = groups.select("root", F.col("node").alias("ancestor")).join(groups, "root").select("ancestor", "node")
+    if not pairs:
+        return inside
+    # members of a group have what it has, and one another
+    members = lambda df, c: df.join(groups.select(F.col("root").alias(c), F.col("node").alias("_n")), c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
+    return members(members(reduce(DataFrame.unionByName, pairs), "ancestor"), "node").select("ancestor", "node").unionByName(inside)
+
+
+def _is_there(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _generations(links: DataFrame) -> DataFrame:
+    """``(node, level)`` of acyclic links: the length of the longest line that ends at a node."""
+    rest = cut(links, "unplaced")
+    done = [links.select(F.col("parent").alias("node")).join(links.select("node"), "node", "left_anti").distinct().select("node", F.lit(0).alias("level"))]
+    now = cut(done[0], "level")
+    done = [now.df]
+    while rest.seen["rows"]:
+        ready = now.df.select(F.col("node").alias("parent"))
+        kept = cut(rest.df.join(ready, "parent", "left_anti"), "unplaced")
+        reached = rest.df.join(ready, "parent", "left_semi").select("node").distinct().join(kept.df.select("node"), "node", "left_anti")
+        now = cut(reached.select("node", F.lit(len(done)).alias("level")), "level")
+        rest.drop()
+        rest = kept
+        done.append(now.df)
+    return reduce(DataFrame.unionByName, done)
+
+
+def _least_leading(links: DataFrame, frm: str, to: str) -> DataFrame:
+    """``(node, colour)``: the least id from which each node can be reached along ``links``, itself included.
+
+    A node hears its neighbours and takes over what its own colour has meanwhile become, so that
+    colours travel by leaps and long cycles need few rounds.
     """
-    parts = [*batches]
-    if not parts:
-        return
-    whole = pd.concat(parts)
-    up: dict[int, list[int]] = {}
-    for a, b in zip(whole.node.tolist(), whole.parent.tolist(), strict=True):
-        up.setdefault(a, []).append(b)
-    number, low, place, open_nodes, is_open, out = {}, {}, {}, [], set(), []
-    for start in up:
-        if start in number:
-            continue
-        walk = [(start, iter(up[start]))]
-        number[start] = low[start] = len(number)
-        place[start] = len(open_nodes)
-        open_nodes.append(start)
-        is_open.add(start)
-        while walk:
-            at, rest = walk[-1]
-            step = next(rest, None)
-            if step is None:
-                walk.pop()
-                if walk:
-                    low[walk[-1][0]] = min(low[walk[-1][0]], low[at])
-                if low[at] == number[at]:
-                    part = open_nodes[place[at] :]
-                    del open_nodes[place[at] :]
-                    is_open.difference_update(part)
-                    first = min(part)
-                    out += [(x, first) for x in part]
-            elif step not in number:
-                number[step] = low[step] = len(number)
-                place[step] = len(open_nodes)
-                open_nodes.append(step)
-                is_open.add(step)
-                walk.append((step, iter(up.get(step, ()))))
-            elif step in is_open:
-                low[at] = min(low[at], number[step])
-    yield pd.DataFrame(out, columns=["node", "colour"])
+    nodes = links.select(F.explode(F.array(frm, to)).alias("node")).distinct()
+    colour = cut(nodes.withColumn("colour", F.col("node")), "colour", total=F.sum("colour"))
+    while True:
+        heard = links.join(colour.df.select(F.col("node").alias(frm), "colour"), frm).groupBy(F.col(to).alias("node")).agg(F.min("colour").alias("said"))
+        near = colour.df.join(heard, "node", "left").select("node", F.least("colour", "said").alias("colour"))
+        leap = near.join(colour.df.select(F.col("node").alias("colour"), F.col("colour").alias("became")), "colour").select("node", F.least("colour", "became").alias("colour"))
+        before, colour = colour, cut(leap, "colour", total=F.sum("colour"))
+        before.drop()
+        if colour.seen["total"] == before.seen["total"]:
+            return colour.df
 
 
-def cyclic_groups(links: DataFrame, small: int = SMALL_REST) -> DataFrame:
+def cyclic_groups(links: DataFrame) -> DataFrame:
     """Nodes that are their own ancestors over any mix of ``links`` ``(node, parent)``.
 
     Returns ``(node, root, members)``: the smallest id and the number of nodes that are at once
     ancestors and descendants of the node, itself included. Links that cannot lie on a cycle are
-    peeled from both ends first; what stays is split by the smallest id that reaches each node,
-    and in each part those that lead back to that id form one group. A node between two cycles is no
-    group, a node linked to itself is.
-
-    Once peeling has left at most ``small`` links, the rest is finished in one task, whose size
-    that count bounds; a larger rest goes on in joins. Both give the same rows.
+    peeled from both ends first, a generation at a time; nodes that stay unprocessed are split by
+    the least id that leads to each, and within that by the least id each leads to: where both are
+    the same the node is in that id's group. A node between two cycles is no group, a node linked to
+    itself is. Every step is a join, whatever the number of links.
     """
     alive = cut(links.select("node", "parent").distinct(), "links")
-    kind = alive.df.schema["node"].dataType.simpleString()
-    groups, rounds = [], 0
+    groups = []
     while True:
-        while True:  # peel
-            had = alive.seen["rows"]
-            if rounds >= PEELED_FIRST and had <= small:
-                break
-            rounds += 1
-            kept = alive.df
+        while alive.seen["rows"]:  # peel
+            had, kept = alive.seen["rows"], alive.df
             for _ in range(STEPS):
                 below = kept.join(kept.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
                 kept = below.join(kept.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent")
             before, alive = alive, cut(kept, "peeled")
             before.drop()
-            if alive.seen["rows"] in (0, had):
+            if alive.seen["rows"] == had:
                 break
-        if rounds >= PEELED_FIRST and alive.seen["rows"] <= small:
-            groups.append(alive.df.repartition(1).mapInPandas(_strong_parts, f"node {kind}, colour {kind}"))
-            break
         if not alive.seen["rows"]:
             break
-        # the smallest id that reaches each node, by its children's word
-        colour = cut(alive.df.select("node").distinct().withColumn("colour", F.col("node")), "colour", total=F.sum("node"))
-        while True:
-            heard = alive.df.join(colour.df, "node").groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("said"))
-            after = colour.df.join(heard, "node", "left").select("node", F.least("colour", "said").alias("colour"))
-            total, colour = colour.seen["total"], cut(after, "colour", total=F.sum("colour"))
-            if colour.seen["total"] == total:
-                break
-        own = colour.df.withColumnRenamed("node", "parent").withColumnRenamed("colour", "up_colour")
-        inside = cut(alive.df.join(colour.df, "node").join(own, "parent").where("colour = up_colour").select("node", "parent", "colour"), "inside").df
-        # from each colour's id back down to the nodes that lead to it
-        front = cut(colour.df.where("node = colour").select("node", "colour"), "back")
-        back = [front.df]
-        while front.seen["rows"]:
-            known = reduce(DataFrame.unionByName, back)
-            new = inside.join(front.df.select(F.col("node").alias("parent")), "parent").select("node", "colour").distinct()
-            front = cut(new.join(known.select("node"), "node", "left_anti"), "back")
-            back.append(front.df)
-        group = cut(reduce(DataFrame.unionByName, back), "group").df
+        leads = _least_leading(alive.df, "node", "parent")
+        own = leads.withColumnsRenamed({"node": "parent", "colour": "up_colour"})
+        inside = cut(alive.df.join(leads, "node").join(own, "parent").where("colour = up_colour").select("node", "parent"), "inside").df
+        back = _least_leading(inside, "parent", "node").withColumnRenamed("colour", "back")
+        alone = F.coalesce("back", "node")  # a node without links inside leads to itself alone
+        group = cut(leads.join(back, "node", "left").where(alone == F.col("colour")).select("node", "colour"), "group").df
         groups.append(group)
         gone = group.select("node")
         alive = cut(alive.df.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent"), "rest")

@@ -63,8 +63,7 @@ def test_hierarchy_equals_brute_force(spark):
 
     over = {a: reach(a) for a in ids}
     loops = {(a, min(g), len(g)) for a in ids if a in over[a] for g in [{b for b in over[a] if a in over[b]}]}
-    for small in (0, 100_000):  # by joins alone, and finished in one task
-        assert {tuple(r) for r in hierarchy.cyclic_groups(links, small).collect()} == loops and loops
+    assert {tuple(r) for r in hierarchy.cyclic_groups(links).collect()} == loops and loops
 
 
 def test_hierarchy_odd_rows(spark):
@@ -72,8 +71,7 @@ def test_hierarchy_odd_rows(spark):
     df = horses(spark, rows).withColumns({"node": F.lit("x"), "parent": F.lit(0), "tree": F.lit(1)})  # clashing names
     links = hierarchy.valid_links(df, "horse_id", TREES)
     assert {(r.tree, r.node, r.root, r.depth) for r in hierarchy.nested_sets(links).collect() if r.depth} == {("sire", 1, 2, 1), ("dam", 4, 3, 1)}
-    for small in (0, 10):
-        assert {tuple(r) for r in hierarchy.cyclic_groups(links, small).collect()} == {(3, 3, 1), (5, 5, 2), (6, 5, 2)}
+    assert {tuple(r) for r in hierarchy.cyclic_groups(links).collect()} == {(3, 3, 1), (5, 5, 2), (6, 5, 2)}
     none = hierarchy.valid_links(horses(spark, []), "horse_id", TREES)
     assert hierarchy.nested_sets(none).count() == 0 and hierarchy.cyclic_groups(none).count() == 0
 
@@ -183,7 +181,16 @@ def test_all_descendants_over_both_links_and_below_cycles(spark):
         want |= new
         new = {(p, c) for a, c in want for p in up[a]} - want
     links = hierarchy.valid_links(horses(spark, rows), "horse_id", TREES)
-    for few in (0, 100):  # by joins alone, and walked in the tasks
-        got = [tuple(r) for r in hierarchy.all_descendants(links, few).collect()]
-        assert set(got) == want and len(got) == len(want) and (1, 3) in want and (5, 8) in want
+    got = [tuple(r) for r in hierarchy.all_descendants(links).collect()]
+    assert set(got) == want and len(got) == len(want) and (1, 3) in want and (5, 8) in want
+    rnd = random.Random(3)
+    many = [(i, rnd.choice([None, rnd.randint(1, i), rnd.randint(1, 66)]), rnd.choice([None, max(1, i - rnd.randint(2, 9))])) for i in range(1, 61)]
+    ids = {r[0] for r in many}
+    up = {r[0]: {x for x in r[1:] if x in ids} for r in many}
+    want, new = set(), {(p, c) for c, ps in up.items() for p in ps}
+    while new:
+        want |= new
+        new = {(p, c) for a, c in want for p in up[a]} - want
+    got = [tuple(r) for r in hierarchy.all_descendants(hierarchy.valid_links(horses(spark, many), "horse_id", TREES)).collect()]
+    assert set(got) == want and len(got) == len(want)
     assert hierarchy.all_descendants(links.limit(0)).count() == 0
