@@ -7,7 +7,7 @@ in each round, so their number is the logarithm of the height, and they touch on
 leaves take theirs from the parent.
 
 Links of several kinds mixed give nodes more than one parent. There the upward pass is a peeling:
-what no order of work reaches holds the cycles, which are split by the least id leading to and from
+what no order of work reaches holds the cycles, which are split by the least ids leading to and from
 each node; and descendants are gathered downward, a generation a round, once cycles are one node each.
 """
 
@@ -26,6 +26,8 @@ from paddock.runtime import cut, keep_until_exit, shared_dir
 SIBLING_BUCKETS = 1024
 #: Steps of peeling planned together before their result is written.
 STEPS = 2
+#: Peeling goes on while a round leaves no larger share of the links than this.
+WORTH_PEELING = 0.8
 #: Parts that the children of one parent are spread over where its ancestors are sent to them.
 SENDING_SALTS = 32
 
@@ -182,57 +184,61 @@ def _generations(links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def _least_leading(links: DataFrame, frm: str, to: str) -> DataFrame:
-    """``(node, colour)``: the least id from which each node can be reached along ``links``, itself included.
+def _least_both_ways(links: DataFrame) -> DataFrame:
+    """``(node, down, up)``: the least id that leads to each node along ``links`` and the least it leads to.
 
-    A node hears its neighbours and takes over what its own colour has meanwhile become, so that
+    A node hears its neighbours and takes over what its own colours have meanwhile become, so that
     colours travel by leaps and long cycles need few rounds.
     """
-    nodes = links.select(F.explode(F.array(frm, to)).alias("node")).distinct()
-    colour = cut(nodes.withColumn("colour", F.col("node")), "colour", total=F.sum("colour"))
+    nodes = links.select(F.explode(F.array("node", "parent")).alias("node")).distinct()
+    total = lambda: F.sum("down") + F.sum("up")
+    now = cut(nodes.select("node", F.col("node").alias("down"), F.col("node").alias("up")), "colours", total=total())
     while True:
-        heard = links.join(colour.df.select(F.col("node").alias(frm), "colour"), frm).groupBy(F.col(to).alias("node")).agg(F.min("colour").alias("said"))
-        near = colour.df.join(heard, "node", "left").select("node", F.least("colour", "said").alias("colour"))
-        leap = near.join(colour.df.select(F.col("node").alias("colour"), F.col("colour").alias("became")), "colour").select("node", F.least("colour", "became").alias("colour"))
-        before, colour = colour, cut(leap, "colour", total=F.sum("colour"))
+        at = now.df
+        none = F.lit(None).cast(at.schema["node"].dataType)
+        said = [
+            at, links.join(at.select("node", "down"), "node").select(F.col("parent").alias("node"), "down", none.alias("up")),
+            links.join(at.select(F.col("node").alias("parent"), "up"), "parent").select("node", none.alias("down"), "up"),
+            at.select("node", F.col("down").alias("x")).join(at.select(F.col("node").alias("x"), "down"), "x").select("node", "down", none.alias("up")),
+            at.select("node", F.col("up").alias("x")).join(at.select(F.col("node").alias("x"), "up"), "x").select("node", none.alias("down"), "up"),
+        ]
+        before, now = now, cut(reduce(DataFrame.unionByName, said).groupBy("node").agg(F.min("down").alias("down"), F.min("up").alias("up")), "colours", total=total())
         before.drop()
-        if colour.seen["total"] == before.seen["total"]:
-            return colour.df
+        if now.seen["total"] == before.seen["total"]:
+            return now.df
 
 
 def cyclic_groups(links: DataFrame) -> DataFrame:
     """Nodes that are their own ancestors over any mix of ``links`` ``(node, parent)``.
 
     Returns ``(node, root, members)``: the smallest id and the number of nodes that are at once
-    ancestors and descendants of the node, itself included. Links that cannot lie on a cycle are
-    peeled from both ends first, a generation at a time; nodes that stay unprocessed are split by
-    the least id that leads to each, and within that by the least id each leads to: where both are
-    the same the node is in that id's group. A node between two cycles is no group, a node linked to
-    itself is. Every step is a join, whatever the number of links.
+    ancestors and descendants of the node, itself included. Links at the ends of all lines cannot
+    lie on a cycle and are peeled first, while that removes many. What stays unprocessed is split by
+    the least id that leads to each node and the least it leads to: where both are the same id the
+    nodes are that id's group, elsewhere the links between nodes of equal ids go on. Each part
+    gives off the group of its least id, so the splitting ends. A node between two cycles is no
+    group, a node linked to itself is. Every step is a join, whatever the number of links.
     """
     alive = cut(links.select("node", "parent").distinct(), "links")
     groups = []
-    while True:
-        while alive.seen["rows"]:  # peel
+    while alive.seen["rows"]:
+        while True:  # peel
             had, kept = alive.seen["rows"], alive.df
             for _ in range(STEPS):
                 below = kept.join(kept.select(F.col("parent").alias("node")).distinct(), "node", "left_semi")
                 kept = below.join(kept.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent")
             before, alive = alive, cut(kept, "peeled")
             before.drop()
-            if alive.seen["rows"] == had:
+            if alive.seen["rows"] > had * WORTH_PEELING or not alive.seen["rows"]:
                 break
         if not alive.seen["rows"]:
             break
-        leads = _least_leading(alive.df, "node", "parent")
-        own = leads.withColumnsRenamed({"node": "parent", "colour": "up_colour"})
-        inside = cut(alive.df.join(leads, "node").join(own, "parent").where("colour = up_colour").select("node", "parent"), "inside").df
-        back = _least_leading(inside, "parent", "node").withColumnRenamed("colour", "back")
-        alone = F.coalesce("back", "node")  # a node without links inside leads to itself alone
-        group = cut(leads.join(back, "node", "left").where(alone == F.col("colour")).select("node", "colour"), "group").df
-        groups.append(group)
-        gone = group.select("node")
-        alive = cut(alive.df.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent"), "rest")
+        colours = _least_both_ways(alive.df)
+        groups.append(colours.where("down = up").select("node", F.col("down").alias("colour")))
+        mixed = colours.where("down <> up")
+        ends = mixed.select(F.col("node").alias("parent"), "down", "up")
+        before, alive = alive, cut(alive.df.join(mixed, "node").join(ends, ["parent", "down", "up"]).select("node", "parent"), "rest")
+        before.drop()
     if not groups:
         return alive.df.where("false").select("node", F.col("node").alias("root"), F.lit(0).alias("members"))
     found = reduce(DataFrame.unionByName, groups)
