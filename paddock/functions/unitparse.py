@@ -62,17 +62,22 @@ class Reading:
 
 
 def segment(shape: str, dimension: str) -> tuple[float, list[tuple[str, object, str]]]:
-    """The best split of a shape into tokens ``(kind, value, text)`` for a field's dimension."""
+    """The best split of a shape into tokens ``(kind, value, text)`` for a field's dimension.
+
+    The state is the place in the text and the kind of token that ends there, as what a token costs
+    may depend on the one before it.
+    """
     text, priors = shape.lower(), PRIORS[dimension]
-    best: list[tuple[float, list]] = [(0.0, [])] + [(float("-inf"), [])] * len(text)
+    best: list[dict[str, tuple[float, list]]] = [{"": (0.0, [])}] + [{} for _ in text]
 
-    def offer(start: int, end: int, kind: str, value: object, cost: float) -> None:
-        score = best[start][0] + cost
-        if score > best[end][0]:
-            best[end] = (score, [*best[start][1], (kind, value, text[start:end])])
+    def offer(start: int, end: int, kind: str, value: object, cost: float, after: tuple[str, ...] = ()) -> None:
+        for before, (score, tokens) in best[start].items():
+            now = score + cost + (UNSUITED if after and before not in after else 0)
+            if kind not in best[end] or now > best[end][kind][0]:
+                best[end][kind] = (now, [*tokens, (kind, value, text[start:end])])
 
     for i, c in enumerate(text):
-        if c in " /.  ()-:":
+        if c in " /.\u00a0\u202f()-:":
             offer(i, i + 1, "gap", c, 0.0)
         for kind, pattern in NUMBERS:
             if (i == 0 or text[i - 1] != "9") and (m := pattern.match(text, i)):
@@ -83,12 +88,10 @@ def segment(shape: str, dimension: str) -> tuple[float, list[tuple[str, object,
             if at is None:
                 break
             for kind, value in at.get("", ()):
-                follows = best[i][1][-1][0] if best[i][1] else ""
                 rooted = kind != "prefix" or (j + 1 < len(text) and text[j + 1] not in "/.")
-                loose = kind == "gait" and follows not in ("clock", "decimal")
-                offer(i, j + 1, kind, value, priors.get(kind, UNSUITED) + PER_TOKEN + (0 if rooted and not loose else UNSUITED))
+                offer(i, j + 1, kind, value, priors.get(kind, UNSUITED) + PER_TOKEN + (0 if rooted else UNSUITED), ("clock", "decimal") if kind == "gait" else ())
         offer(i, i + 1, "unknown", c, UNKNOWN)
-    return best[-1]
+    return max(best[-1].values(), key=lambda x: x[0])
 
 
 def read_shape(shape: str, dimension: str) -> Reading | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -72,3 +74,47 @@ def decayed_mean(value: Column, day: Column, half_life: int, w: WindowSpec) -> C
     weight = F.pow(F.lit(2.0), day / F.lit(float(half_life)))
     held = F.sum(F.when(value.isNotNull(), weight)).over(w)
     return F.sum(weight * value).over(w) / F.when(held != 0, held)
+
+
+#: Rows of a key that one task orders for windows over its last rows.
+ROWS_A_BUCKET = 8192
+
+
+def numbered(rows: DataFrame, keys: list[str], day: str, tie: str) -> DataFrame:
+    """Adds ``_rn``, the 0-based place of a row among its key's rows by day, then ``tie``.
+
+    Days are counted first and only the rows of one day are ordered together, so no task holds all
+    rows of a busy key. Null keys and days are left out.
+    """
+    known = rows.dropna(subset=[*keys, day])
+    first = daily(known, keys, day, {"_n": F.count(F.lit(1))}).withColumn("_before", F.coalesce(F.sum("_n").over(before(keys, [day])), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, day).orderBy(tie)) - 1
+    return known.withColumn("_within", within).join(first, [*keys, day]).withColumn("_rn", F.col("_before") + F.col("_within")).drop("_before", "_within")
+
+
+def over_last(rows: DataFrame, keys: list[str], reach: int, measures: dict[str, Callable[[Callable[[int], WindowSpec]], Column]]) -> DataFrame:
+    """Adds measures over up to ``reach`` rows before each, of rows from :func:`numbered`.
+
+    The rows of a key are cut into buckets and the last ``reach`` of each are carried into the next,
+    so a busy key is spread over many tasks. A measure gets ``last``, which makes the window of the
+    n rows before.
+    """
+    size = max(ROWS_A_BUCKET, reach)
+    at = F.floor(F.col("_rn") / size)
+    carried = F.when(F.pmod(F.col("_rn"), F.lit(size)) >= size - reach, F.array(at, at + 1)).otherwise(F.array(at))
+    spread = rows.withColumn("_b", F.explode(carried)).withColumn("_own", F.col("_b") == at)
+    last = lambda n: Window.partitionBy(*keys, "_b").orderBy("_rn").rowsBetween(-n, -1)
+    return spread.withColumns({k: make(last) for k, make in measures.items()}).where("_own").drop("_b", "_own")
+
+
+def before_row(rows: DataFrame, keys: list[str], day: str, tie: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds totals over all rows of the key before each row, by day, then ``tie``.
+
+    Totals of earlier days come from daily totals, those of the same day from its own rows.
+    """
+    known = rows.dropna(subset=[*keys, day]).withColumns({f"_x_{k}": c for k, c in sums.items()})
+    past = cumulative(known, keys, day, {f"_p_{k}": F.sum(f"_x_{k}") for k in sums})
+    same = Window.partitionBy(*keys, day).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumns({f"_s_{k}": F.sum(f"_x_{k}").over(same) for k in sums}).join(past, [*keys, day], "left")
+    some = lambda k: F.coalesce(F.col(f"_p_{k}") + F.col(f"_s_{k}"), F.col(f"_p_{k}"), F.col(f"_s_{k}"))
+    return known.withColumns({k: some(k) for k in sums}).drop(*(f"{p}{k}" for k in sums for p in ("_x_", "_p_", "_s_")))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of the score's range in which ranks are counted, so that no task orders all rows.
+#: Parts of the scores in which ranks are counted, so that no task orders all rows.
 PARTS = 1000
 
 
@@ -22,12 +22,13 @@ def time_split(rows: DataFrame, day: str, cut: str) -> tuple[DataFrame, DataFram
 def ranked(rows: DataFrame, score: str, row_id: str) -> DataFrame:
     """Adds the 1-based ``rank`` by score (ties by id), ``mid_rank`` (ties averaged) and ``total``.
 
-    Counts by part of the score's range come first; only rows of one part are ordered together.
+    Counts by part of the scores come first, the parts' bounds being approximate quantiles; only
+    rows of one part are ordered together. Equal scores are in one part.
     """
-    ends = rows.agg(F.min(score).alias("a"), F.max(score).alias("b")).first()
-    width = (float(ends.b) - float(ends.a)) if ends.a is not None else 0.0
-    part = F.least(F.floor((F.col(score) - F.lit(float(ends.a or 0))) / (width or 1.0) * PARTS), F.lit(PARTS - 1)).cast("int")
-    r = rows.where(F.col(score).isNotNull()).withColumn("_p", part)
+    known = rows.where(F.col(score).isNotNull())
+    inner = sorted(set(known.approxQuantile(score, [i / PARTS for i in range(1, PARTS)], 1 / (4 * PARTS))))
+    bounds = [float("-inf"), *inner, float("inf")]
+    r = Bucketizer(splits=bounds, inputCol=score, outputCol="_p").transform(known) if inner else known.withColumn("_p", F.lit(0.0))
     parts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = parts.withColumns({"_b": F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("_n").over(Window.partitionBy())}).drop("_n")
     w = Window.partitionBy("_p")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators.predicates import is_qualifier
+from paddock.runtime import cut, join_sized
 
 LEAST_FIELD = 4
 
@@ -29,3 +30,27 @@ def finish_percentile(entries: DataFrame, least: int = LEAST_FIELD) -> DataFrame
     race = Window.partitionBy("race_id")
     ranked = field.withColumns({"n": F.count(F.lit(1)).over(race), "rank": F.row_number().over(race.orderBy("placement", F.col("program_number").asc_nulls_last(), "entry_id"))})
     return ranked.where(F.col("n") >= least).withColumn("perf", (F.col("n") - F.col("rank")).cast("double") / (F.col("n") - 1))
+
+
+#: Ranges of values in which a median is looked for.
+RANGES = 256
+
+
+def exact_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, median, n)``: the exact median of the known values of each key.
+
+    Values are counted first; the counts of approximate quantile ranges then say which range holds
+    the middle, and only that one is ordered. No task holds all values of a key.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull())
+    counts = cut(known.groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "values").df
+    bounds = cut(known.groupBy(key).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_q"), F.count(F.lit(1)).alias("_all")), "bounds")
+    placed = cut(join_sized(counts, bounds, [key], F.col("_v"), limit=10_000).withColumn("_part", F.size(F.filter("_q", lambda q: q < F.col("_v")))).drop("_q"), "placed").df
+    by_part = placed.groupBy(key, "_part").agg(F.sum("_n").alias("_held"), F.max("_all").alias("_all"))
+    below = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = by_part.withColumn("_below", F.coalesce(F.sum("_held").over(below), F.lit(0))).where((F.col("_below") < high) & (F.col("_below") + F.col("_held") >= low)).select(key, "_part", "_below")
+    up_to = F.col("_below") + F.sum("_n").over(Window.partitionBy(key, "_part").orderBy("_v"))
+    near = placed.join(middle, [key, "_part"]).withColumn("_to", up_to)
+    at = lambda rank: F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col("_v")))
+    return near.groupBy(key).agg(((at(low) + at(high)) / 2).alias("median"), F.max("_all").alias("n"))

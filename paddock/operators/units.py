@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.unitparse import read_shape
 from paddock.operators import intervals
-from paddock.plans.standing import standing
+from paddock.operators.standing import standing
 from paddock.runtime import cut, join_sized
 
 # The keys under which sources state prizes and times.
@@ -105,7 +105,9 @@ def stated(entry: DataFrame) -> DataFrame:
     blocks = F.map_values(F.from_json("source_data", "map<string,string>"))
     pairs = F.flatten(F.transform(blocks, lambda b: F.map_entries(F.from_json(b, "map<string,string>"))))
     e = e.withColumn("said", F.filter(pairs, lambda p: p.isNotNull()))
-    pick = lambda keys: F.try_element_at(F.filter("said", lambda p: p["key"].isin(keys) & p["value"].isNotNull()), F.lit(1))["value"]
+    # of several the one whose key comes first in the list of keys, then the least text
+    rank = lambda keys, key: F.array_position(F.array(*map(F.lit, keys)), key)
+    pick = lambda keys: F.array_min(F.transform(F.filter("said", lambda p: p["key"].isin(keys) & p["value"].isNotNull()), lambda p: F.struct(rank(keys, p["key"]).alias("at"), p["value"].alias("value"))))["value"]
     prize = pick(PRIZE_KEYS)
     record = F.from_json(prize, "amount string, unit string, ccy string, exp string")
     plain = F.concat_ws(" ", record["amount"], record["unit"], record["ccy"], F.concat(F.lit("e"), record["exp"]))

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from paddock.functions.parse import strip_accents
 from paddock.operators import predicates as P
 from paddock.plans.base import START, WIN, E, fact, flagged, n_if, query, total
-from paddock.runtime import table
+from paddock.runtime import cut, table
 
 _AGE = "2024-12-31"
 
 
+def paged(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page of rows in order, with the number of all rows as ``total_rows``.
+
+    Found rows are written once; page and count read them.
+    """
+    found = cut(rows, "found")
+    return found.df.orderBy(*order).offset(offset).limit(limit).withColumn("total_rows", F.lit(found.seen["rows"]).cast("bigint"))
+
+
 @query(f"""WITH {E}, s AS (SELECT horse_id, {n_if(START)} starts, {n_if(WIN)} wins, coalesce(sum(prize_kr), 0)::BIGINT prize_kr, max(race_date) last_start FROM e WHERE horse_id IS NOT NULL GROUP BY horse_id)
 SELECT h.horse_id, h.name, starts, wins, prize_kr, CASE WHEN is_dead THEN 'deceased' WHEN last_start >= DATE '{_AGE}' - INTERVAL 15 MONTHS THEN 'active' ELSE 'inactive' END activity, round(wins::DOUBLE / nullif(starts, 0), 6) win_rate, count(*) OVER () total_rows
 FROM h0 h JOIN s USING (horse_id) WHERE starts >= 2 AND (h.gender_code IS NULL OR h.gender_code IN ('H', 'S')) AND prize_kr BETWEEN 1000 AND 5000000
@@ -24,9 +33,8 @@ def browse_facets(spark: SparkSession, d: str) -> DataFrame:
     wanted = P.all_of([*P.between("starts", 2), F.col("gender_code").isNull() | F.col("gender_code").isin("H", "S"), *P.between("prize_kr", 1000, 5_000_000)])
     found = h.join(s, "horse_id").where(wanted)
     activity = F.when(F.col("is_dead"), "deceased").when(F.col("last_start") >= F.add_months(F.lit(_AGE).cast("date"), -15), "active").otherwise("inactive")
-    n = found.count()
-    out = found.select("horse_id", "name", "starts", "wins", "prize_kr", activity.alias("activity"), F.round(F.col("wins").cast("double") / F.when(F.col("starts") != 0, F.col("starts")), 6).alias("win_rate"), F.lit(n).cast("bigint").alias("total_rows"))
-    return out.orderBy(F.col("win_rate").desc_nulls_last(), F.desc("prize_kr"), "horse_id").offset(10).limit(50)
+    out = found.select("horse_id", "name", "starts", "wins", "prize_kr", activity.alias("activity"), F.round(F.col("wins").cast("double") / F.when(F.col("starts") != 0, F.col("starts")), 6).alias("win_rate"))
+    return paged(out, [F.col("win_rate").desc_nulls_last(), F.desc("prize_kr"), F.col("horse_id")], 10, 50)
 
 
 @query("SELECT horse_id, name FROM horse WHERE contains(lower(strip_accents(replace(replace(replace(replace(name, 'ø', 'o'), 'Ø', 'O'), 'æ', 'ae'), 'Æ', 'AE'))), 'etoile')")

@@ -200,21 +200,29 @@ def form_90_180(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {E}, {_OUTPERF} SELECT entry_id, {', '.join(f"count(*) OVER w{k} n_{k}, round(avg(market_outperf) OVER w{k}, 6) posbeat_last{k}" for k in (50, 100, 200))} FROM mo WHERE trainer_id IS NOT NULL
 WINDOW {', '.join(f"w{k} AS (PARTITION BY trainer_id ORDER BY race_date, entry_id ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)" for k in (50, 100, 200))}""")
 def form_last_n(spark: SparkSession, d: str) -> DataFrame:
-    over = {k: before(["trainer_id"], ORDER, k) for k in (50, 100, 200)}
-    return _form_rows(spark, d).select("entry_id", *(c for k, w in over.items() for c in (F.count(F.lit(1)).over(w).alias(f"n_{k}"), F.round(F.avg("market_outperf").over(w), 6).alias(f"posbeat_last{k}"))))
+    rows = asof.numbered(_form_rows(spark, d).select("entry_id", "trainer_id", "race_date", "market_outperf"), ["trainer_id"], "race_date", "entry_id")
+    measures = {}
+    for k in (50, 100, 200):
+        measures[f"n_{k}"] = lambda last, k=k: F.count(F.lit(1)).over(last(k))
+        measures[f"posbeat_last{k}"] = lambda last, k=k: F.round(F.avg("market_outperf").over(last(k)), 6)
+    return asof.over_last(rows, ["trainer_id"], 200, measures).select("entry_id", *measures)
 
 
 @query(f"""WITH {E}, {_OUTPERF} SELECT entry_id, {', '.join(f"round(sum(pow(2, (race_date - DATE '2021-01-01') / {h}.0::DOUBLE) * market_outperf) OVER w / sum(pow(2, (race_date - DATE '2021-01-01') / {h}.0::DOUBLE)) OVER w, 6) decay{h}" for h in (120, 365))}
 FROM mo WHERE trainer_id IS NOT NULL WINDOW w AS (PARTITION BY trainer_id ORDER BY race_date, entry_id {PRIOR})""")
 def form_decay(spark: SparkSession, d: str) -> DataFrame:
-    w, age = before(["trainer_id"], ORDER), F.datediff("race_date", F.lit("2021-01-01").cast("date"))
-    return _form_rows(spark, d).select("entry_id", *(F.round(asof.decayed_mean(F.col("market_outperf"), age, h, w), 6).alias(f"decay{h}") for h in (120, 365)))
+    age, x = F.datediff("race_date", F.lit("2021-01-01").cast("date")), F.col("market_outperf")
+    weight = {h: F.pow(F.lit(2.0), age / F.lit(float(h))) for h in (120, 365)}
+    sums = {f"{p}{h}": c for h, w in weight.items() for p, c in (("sum", w * x), ("held", w))}
+    rows = asof.before_row(_form_rows(spark, d).select("entry_id", "trainer_id", "race_date", "market_outperf"), ["trainer_id"], "race_date", "entry_id", sums)
+    return rows.select("entry_id", *(F.round(rate(f"sum{h}", f"held{h}"), 6).alias(f"decay{h}") for h in weight))
 
 
 @query(f"WITH {E}, {_OUTPERF} SELECT entry_id, round(sum(market_outperf) OVER w / (count(*) OVER w + 30), 6) shrunk FROM mo WHERE trainer_id IS NOT NULL WINDOW w AS (PARTITION BY trainer_id ORDER BY race_date, entry_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)")
 def form_shrunk(spark: SparkSession, d: str) -> DataFrame:
-    w = before(["trainer_id"], ORDER, 100)
-    return _form_rows(spark, d).select("entry_id", F.round(F.sum("market_outperf").over(w) / (F.count(F.lit(1)).over(w) + 30), 6).alias("shrunk"))
+    rows = asof.numbered(_form_rows(spark, d).select("entry_id", "trainer_id", "race_date", "market_outperf"), ["trainer_id"], "race_date", "entry_id")
+    shrunk = lambda last: F.round(F.sum("market_outperf").over(last(100)) / (F.count(F.lit(1)).over(last(100)) + 30), 6)
+    return asof.over_last(rows, ["trainer_id"], 100, {"shrunk": shrunk}).select("entry_id", "shrunk")
 
 
 @query(f"""WITH {E}, {_PERF}, y AS (SELECT trainer_id, race_date, count(*) n, sum(perf::DECIMAL(18, 6)) pp, count(CASE WHEN placement = 1 THEN 1 END) w FROM pf WHERE trainer_id IS NOT NULL GROUP BY ALL)

@@ -253,6 +253,7 @@ def mode_vote(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("race_id").agg(F.max_by("distance", F.struct("n", -F.col("distance"))).alias("modal_distance"))
 
 
-@query("SELECT event_type, median(value) median_value, count(*) n FROM events GROUP BY event_type")
+@query("SELECT event_type, median(value) median_value, count(value) n FROM events GROUP BY event_type")
 def median_latency(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median_value"), F.count(F.lit(1)).alias("n"))
+    m = ranking.exact_median(table(spark, d, "events").select("event_type", "value"), "event_type", "value")
+    return m.select("event_type", F.col("median").alias("median_value"), "n")

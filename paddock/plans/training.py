@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paddock.operators import hierarchy, intervals, rolling, units
-from paddock.plans.standing import standing
+from paddock.operators.standing import standing
 from paddock.runtime import cut, table
 
 LINEAGES = {"sire": "sire_id", "dam": "dam_id"}
@@ -117,7 +117,7 @@ def p7_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = cut(_daily(_form_rows(spark, sf_dir)), "daily").df
     days = rolling.calendar(daily, "trainer_id", "race_date")
     sums = ["n", "beat", "beat_n", "outperf", "outperf_n"]
-    totals = rolling.trailing(days, daily, "trainer_id", "race_date", sums, PERIODS)
+    totals = rolling.trailing(days, daily, "trainer_id", "race_date", sums, PERIODS, tasks=rolling.tasks_for(daily, "trainer_id", "race_date"))
     out = []
     for p in PERIODS:
         mean = lambda c, p=p: F.col(f"{c}_{p}").cast("double") / F.when(F.col(f"{c}_n_{p}") > 0, F.col(f"{c}_n_{p}"))
