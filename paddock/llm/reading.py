@@ -39,8 +39,8 @@ SENTENCE, WORD = re.compile(r"[^.!?\n]*[.!?]"), re.compile(r"[^\W\d_]+")
 #: A sentence of running prose has at least so many words of two letters.
 SENTENCE_WORDS = 3
 
-#: Bins of the level scale in the word step, words kept from so many documents on, rounds of both steps.
-BINS, LEAST_DOCUMENTS, ROUNDS, RIDGE = np.linspace(1, 5, 9), 3, 2, 2.0
+#: Bins of the level scale in the word step, rounds of both steps, strength of the pull of rare words to no difficulty.
+BINS, ROUNDS, RIDGE = np.linspace(1, 5, 9), 2, 2.0
 #: Most words of a dictionary that is sent to every executor (16 bytes each).
 DICTIONARY = 2_000_000
 FEATURES = ["one", "log_mean", "mean_log", "letters", *(f"is_{x}" for x in LANGUAGES[1:])]
@@ -171,26 +171,26 @@ def word_step(docs: DataFrame, level: Column) -> Cut:
         for b in batches:
             sizes = np.diff(b["words"].offsets.to_numpy())
             key = {"word": b["words"].flatten(), "bin": np.repeat(b["bin"].to_numpy(), sizes), "n": b["counts"].flatten().cast(pa.int64())}
-            met = pa.table(key).group_by(["word", "bin"]).aggregate([("n", "sum"), ("n", "count")]).rename_columns(["word", "bin", "n", "docs"])
+            met = pa.table(key).group_by(["word", "bin"]).aggregate([("n", "sum")]).rename_columns(["word", "bin", "n"])
             yield from met.combine_chunks().to_batches()
 
-    by_bin = binned.mapInArrow(tally, "word bigint, bin int, n bigint, docs bigint").groupBy("word", "bin").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_word = by_bin.groupBy("word").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"), F.sum("docs").alias("docs"))
-    kept = by_word.where(F.col("docs") >= LEAST_DOCUMENTS).drop("docs")
-    return cut(kept.mapInPandas(lambda b: _fit_words(b, np.maximum(totals, 1e-9)), "word bigint, difficulty double"), "words")
+    by_bin = binned.mapInArrow(tally, "word bigint, bin int, n bigint").groupBy("word", "bin").agg(F.sum("n").alias("n"))
+    by_word = by_bin.groupBy("word").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts"))
+    return cut(by_word.mapInPandas(lambda b: _fit_words(b, np.maximum(totals, 1e-9)), "word bigint, difficulty double"), "words")
 
 
 def document_step(docs: DataFrame, words: Cut, with_words: bool = False) -> DataFrame:
     """Mean difficulty of each document's words: adds ``hardness``.
 
     Up to ``DICTIONARY`` words are sent to all executors and looked up beside the documents; a
-    larger dictionary is joined.
+    larger dictionary is joined. Both give the same.
     """
     if words.seen["rows"] > DICTIONARY:
         each = docs.select("doc_id", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc_id", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
         met = join_sized(each, words, ["word"], F.col("doc_id"))
         mean = met.groupBy("doc_id").agg((F.sum(F.col("n") * F.col("difficulty")) / F.sum("n")).alias("hardness"))
-        return docs.join(mean, "doc_id", "left").withColumn("hardness", F.coalesce("hardness", F.lit(0.0)))
+        kept = docs if with_words else docs.select(*PLAIN)
+        return kept.join(mean, "doc_id", "left").withColumn("hardness", F.coalesce("hardness", F.lit(0.0)))
     table = words.df.toPandas().sort_values("word")
     known = docs.sparkSession.sparkContext.broadcast((table.word.to_numpy(np.int64), table.difficulty.to_numpy(float)))
 
@@ -241,6 +241,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS
     if weights is None:
         return docs.select("doc_id", "lang", F.lit(3.0).alias("score"), F.lit(3).alias("reading_level"))
     level = _linear(FEATURES, weights)
+    known = docs
     for _ in range(rounds):
         words = word_step(docs, level)
         known = _with_ones(cut(document_step(raw.df, words), "levels").df)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from types import ModuleType
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,10 @@ def counted(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VO
     Null and empty texts have 0 tokens and no ``text_id``; equal texts have equal ``text_id``.
     Strings of special tokens are ordinary text. Rows with a null ``doc_id`` are kept.
     """
-    path = f"{folder}/{vocabulary}"
+    documents.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")  # executors get the driver's file
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(SparkFiles.get(vocabulary))
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "source": b.source, "text_id": b.text_id, "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b.text]})
 

@@ -249,3 +249,13 @@ def test_linkage_pair_with_only_a_common_name(spark, monkeypatch):
     assert len(ids(linkage.scored(a, b, 0.9))) < len(rows) * len(raw) / 4
     every = linkage._accepted(linkage.Model(np.full(5, 0.2), [np.log(np.full((n - 1, 5), 1 / (n - 1))) for n in linkage.LEVELS.values()]), ["n"], 0.0)
     assert every == {("n", k) for k in range(32)}
+
+
+def test_levels_by_joined_dictionary(spark, small, monkeypatch):
+    """The dictionary of words sent to all executors and the joined one give the same levels; so do no rounds at all, by form alone."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet").dropDuplicates(["doc_id"]), spark.read.parquet(f"{small}/reading_label.parquet")
+    levels = lambda **k: {r.doc_id: (r.reading_level, round(r.score, 6)) for r in reading.reading_levels(docs, labels, **k).collect()}
+    sent = levels()
+    monkeypatch.setattr(reading, "DICTIONARY", 0)
+    assert levels() == sent and sent
+    assert set(levels(rounds=0)) == set(sent)
