@@ -6,11 +6,16 @@ from pyspark.sql import SparkSession
 
 from paddock.functions import parse
 
-#: Name, parameter and body; the bodies are expressions, so Catalyst inlines and optimises them.
 _TIME = parse.KM_TIME.replace("\\", "\\\\")
-_TIME_PART = "try_cast(nullif(regexp_extract(trim(t), '" + _TIME + "', {}), '') AS INT)"
+
+
+def _time_part(i: int) -> str:
+    return f"try_cast(nullif(regexp_extract(trim(t), '{_TIME}', {i}), '') AS INT)"
+
+
+#: Name, parameter and body; the bodies are expressions, so Catalyst inlines and optimises them.
 FUNCTIONS = {
-    "km_time_code": ("t STRING", "INT", f"coalesce({_TIME_PART.format(1)}, 1) * 1000 + {_TIME_PART.format(2)} * 10 + {_TIME_PART.format(3)}"),
+    "km_time_code": ("t STRING", "INT", f"coalesce({_time_part(1)}, 1) * 1000 + {_time_part(2)} * 10 + {_time_part(3)}"),
     "money_kr": ("t STRING", "BIGINT", r"try_cast(nullif(regexp_replace(regexp_extract(replace(replace(t, '\u00a0', ' '), '.', ' '), '[\\d\\s]+', 0), '\\s', ''), '') AS BIGINT)"),
     "distance_band": ("m INT", "STRING", "CASE WHEN m IS NULL THEN NULL WHEN m <= 1700 THEN 's' WHEN m <= 2250 THEN 'm' ELSE 'l' END"),
 }

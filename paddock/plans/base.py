@@ -34,8 +34,15 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
 
 def fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Standing entries with the flags every statistic uses."""
-    e = standing(table(spark, sf_dir, "entry"), *(columns or COLUMNS))
-    return e
+    return standing(table(spark, sf_dir, "entry"), *(columns or COLUMNS))
+
+
+FLAGS = ["withdrawn", "placement_text", "disqualified"]
+
+
+def flagged_fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Standing entries with their flags; only ``columns`` and what the flags need are read."""
+    return flagged(fact(spark, sf_dir, *dict.fromkeys([*columns, *FLAGS])))
 
 
 def flagged(e: DataFrame) -> DataFrame:

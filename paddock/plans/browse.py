@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.parse import strip_accents
 from paddock.operators import predicates as P
-from paddock.plans.base import START, WIN, E, fact, flagged, n_if, query, total
+from paddock.plans.base import START, WIN, E, fact, flagged_fact, n_if, query, total
 from paddock.runtime import cut, table
 
 _AGE = "2024-12-31"
@@ -27,7 +27,7 @@ SELECT h.horse_id, h.name, starts, wins, prize_kr, CASE WHEN is_dead THEN 'decea
 FROM h0 h JOIN s USING (horse_id) WHERE starts >= 2 AND (h.gender_code IS NULL OR h.gender_code IN ('H', 'S')) AND prize_kr BETWEEN 1000 AND 5000000
 ORDER BY win_rate DESC NULLS LAST, prize_kr DESC, horse_id LIMIT 50 OFFSET 10""".replace("h0 h", "horse h"))
 def browse_facets(spark: SparkSession, d: str) -> DataFrame:
-    e = flagged(fact(spark, d)).where("horse_id is not null")
+    e = flagged_fact(spark, d, "horse_id", "prize_kr", "race_date").where("horse_id is not null")
     s = e.groupBy("horse_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize_kr"), F.max("race_date").alias("last_start"))
     h = table(spark, d, "horse").select("horse_id", "name", "gender_code", "is_dead")
     wanted = P.all_of([*P.between("starts", 2), F.col("gender_code").isNull() | F.col("gender_code").isin("H", "S"), *P.between("prize_kr", 1000, 5_000_000)])

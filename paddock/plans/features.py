@@ -10,7 +10,7 @@ from paddock.operators import predicates as P
 from paddock.operators.asof import before, days_before, rate
 from paddock.plans.base import ND, START, E, fact, query
 from paddock.plans.statistics import _OUTPERF, _PERF, _TRACK
-from paddock.runtime import table
+from paddock.runtime import cut, table
 
 ORDER = ["race_date", "entry_id"]
 HORSE, DAY = "PARTITION BY horse_id ORDER BY race_date, entry_id", "ORDER BY race_date"
@@ -22,10 +22,19 @@ def _prior() -> WindowSpec:
     return before(["horse_id"], ORDER)
 
 
-def starts(spark: SparkSession, d: str) -> DataFrame:
-    """Counting starts with feature flags; race and horse known."""
-    e = fact(spark, d).where(P.started() & F.col("horse_id").isNotNull() & F.col("race_date").isNotNull())
-    return e.withColumns({"won": F.coalesce(P.won(), F.lit(False)), "gal": F.coalesce("galopp", F.lit(False)), "dq": F.coalesce("disqualified", F.lit(False)), "band": P.distance_band(), "expw": P.expected_win(), "barefoot": F.coalesce(F.col("shoe_code") == "1", F.lit(False)), "day": F.unix_date("race_date")})
+#: Flags of a start and the columns each is made of.
+MADE_OF = {"won": ["placement", "disqualified"], "gal": ["galopp"], "dq": ["disqualified"], "band": ["distance"], "expw": ["odds"], "barefoot": ["shoe_code"], "day": []}
+
+
+def starts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Counting starts, race and horse known, with ``columns``, which may be flags of ``MADE_OF``; only what they need is read."""
+    needed = [x for c in columns for x in MADE_OF.get(c, [c])]
+    e = fact(spark, d, *dict.fromkeys(["withdrawn", "placement_text", "horse_id", "race_date", *needed])).where(P.started() & F.col("horse_id").isNotNull() & F.col("race_date").isNotNull())
+    make = {
+        "won": lambda: F.coalesce(P.won(), F.lit(False)), "gal": lambda: F.coalesce("galopp", F.lit(False)), "dq": lambda: F.coalesce("disqualified", F.lit(False)), "band": P.distance_band, "expw": P.expected_win,
+        "barefoot": lambda: F.coalesce(F.col("shoe_code") == "1", F.lit(False)), "day": lambda: F.unix_date("race_date"),
+    }
+    return e.withColumns({c: make[c]() for c in columns if c in make}) if any(c in make for c in columns) else e
 
 
 S = f"""{E}, s AS (SELECT *, coalesce(placement = 1 AND {ND}, false) won, coalesce(galopp, false) gal, coalesce(disqualified, false) dq,
@@ -36,19 +45,19 @@ COUNTS = {"starts": "true", "wins": "won", "gals": "gal", "clean_starts": "NOT g
 
 @query(f"WITH {S} SELECT entry_id, {', '.join(f'count(CASE WHEN {c} THEN 1 END) OVER h {k}' for k, c in COUNTS.items())} FROM s WINDOW h AS ({HORSE} {PRIOR})")
 def horse_asof_counts(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select("entry_id", *(F.count(F.when(F.expr(c), 1)).over(_prior()).alias(k) for k, c in COUNTS.items()))
+    return starts(spark, d, "won", "gal", "dq", "auto", "barefoot").select("entry_id", *(F.count(F.when(F.expr(c), 1)).over(_prior()).alias(k) for k, c in COUNTS.items()))
 
 
 @query(f"WITH {S} SELECT entry_id, lag(gal) OVER h gal_pre, (race_date - lag(race_date) OVER h)::INT days_since, (race_date - lag(race_date) OVER h) > 60 season_debut FROM s WINDOW h AS ({HORSE})")
 def lag_gap(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("horse_id").orderBy(*ORDER)
     gap = F.datediff("race_date", F.lag("race_date").over(w))
-    return starts(spark, d).select("entry_id", F.lag("gal").over(w).alias("gal_pre"), gap.alias("days_since"), (gap > 60).alias("season_debut"))
+    return starts(spark, d, "gal").select("entry_id", F.lag("gal").over(w).alias("gal_pre"), gap.alias("days_since"), (gap > 60).alias("season_debut"))
 
 
 @query(f"WITH {S} SELECT entry_id, {', '.join(f'''min(CASE WHEN band = '{b}' AND time_seconds > 0 THEN time_seconds END) OVER h record_{b}''' for b in 'sml')} FROM s WINDOW h AS ({HORSE} {PRIOR})")
 def best_by_band_asof(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select("entry_id", *(F.min(F.when((F.col("band") == b) & (F.col("time_seconds") > 0), F.col("time_seconds"))).over(_prior()).alias(f"record_{b}") for b in "sml"))
+    return starts(spark, d, "band", "time_seconds").select("entry_id", *(F.min(F.when((F.col("band") == b) & (F.col("time_seconds") > 0), F.col("time_seconds"))).over(_prior()).alias(f"record_{b}") for b in "sml"))
 
 
 @query(f"""WITH {S} SELECT entry_id, CASE WHEN auto IS NULL THEN NULL WHEN auto THEN count(CASE WHEN auto THEN 1 END) OVER h = 0 ELSE count(CASE WHEN NOT auto THEN 1 END) OVER h = 0 END first_method,
@@ -57,13 +66,13 @@ def first_time_flags(spark: SparkSession, d: str) -> DataFrame:
     none = lambda c: F.count(F.when(c, 1)).over(_prior()) == 0
     auto, band = F.col("auto"), F.col("band")
     by_band = F.coalesce(*(F.when(band == b, none(band == b)) for b in "sml"))
-    return starts(spark, d).select("entry_id", F.when(auto, none(auto)).when(~auto, none(~auto)).alias("first_method"), by_band.alias("first_band"), (F.col("barefoot") & none(F.col("barefoot"))).alias("first_barefoot"))
+    return starts(spark, d, "auto", "band", "barefoot").select("entry_id", F.when(auto, none(auto)).when(~auto, none(~auto)).alias("first_method"), by_band.alias("first_band"), (F.col("barefoot") & none(F.col("barefoot"))).alias("first_barefoot"))
 
 
 @query(f"WITH {S} SELECT entry_id, CASE WHEN trainer_id IS NULL THEN 0 ELSE count(*) OVER t END with_trainer, CASE WHEN driver_id IS NULL THEN 0 ELSE count(*) OVER r END with_driver FROM s WINDOW t AS (PARTITION BY horse_id, trainer_id ORDER BY race_date, entry_id {PRIOR}), r AS (PARTITION BY horse_id, driver_id ORDER BY race_date, entry_id {PRIOR})")
 def pair_prior_counts(spark: SparkSession, d: str) -> DataFrame:
     prior = lambda who: F.when(F.col(who).isNull(), F.lit(0)).otherwise(F.count(F.lit(1)).over(before(["horse_id", who], ORDER)))
-    return starts(spark, d).select("entry_id", prior("trainer_id").alias("with_trainer"), prior("driver_id").alias("with_driver"))
+    return starts(spark, d, "trainer_id", "driver_id").select("entry_id", prior("trainer_id").alias("with_trainer"), prior("driver_id").alias("with_driver"))
 
 
 def _person() -> dict[str, Column]:
@@ -73,17 +82,17 @@ _DAILY = "dd AS (SELECT driver_id, race_date, count(*) starts, count(CASE WHEN w
 
 @query(f"WITH {S}, {_DAILY} SELECT driver_id, race_date, (sum(starts) OVER w)::BIGINT starts, (sum(wins) OVER w)::BIGINT wins, (sum(gals) OVER w)::BIGINT gals FROM dd WINDOW w AS (PARTITION BY driver_id {DAY} {PRIOR})")
 def person_asof_career(spark: SparkSession, d: str) -> DataFrame:
-    return asof.cumulative(starts(spark, d), ["driver_id"], "race_date", {k: _person()[k] for k in ("starts", "wins", "gals")})
+    return asof.cumulative(starts(spark, d, "driver_id", "won", "gal"), ["driver_id"], "race_date", {k: _person()[k] for k in ("starts", "wins", "gals")})
 
 
 @query(f"WITH {S}, {_DAILY} SELECT driver_id, race_date, (sum(starts) OVER w)::BIGINT starts, (sum(wins) OVER w)::BIGINT wins, (sum(odds_n) OVER w)::BIGINT odds_n, round((sum(odds_wins) OVER w - sum(exp_wins) OVER w) / nullif(sum(odds_n) OVER w, 0), 6) odds_form FROM dd WINDOW w AS (PARTITION BY driver_id {DAY} RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)")
 def person_asof_30d(spark: SparkSession, d: str) -> DataFrame:
-    t = asof.trailing_days(starts(spark, d), ["driver_id"], "race_date", {k: _person()[k] for k in ("starts", "wins", "odds_n", "odds_wins", "exp_wins")}, 30)
+    t = asof.trailing_days(starts(spark, d, "driver_id", "won", "odds", "expw"), ["driver_id"], "race_date", {k: _person()[k] for k in ("starts", "wins", "odds_n", "odds_wins", "exp_wins")}, 30)
     return t.withColumn("gain", F.col("odds_wins") - F.col("exp_wins")).select("driver_id", "race_date", "starts", "wins", "odds_n", F.round(rate("gain", "odds_n"), 6).alias("odds_form"))
 
 
 def _keyed(spark: SparkSession, d: str, keys: list[str], extra: DataFrame | None = None, on: str = "race_id") -> DataFrame:
-    s = starts(spark, d)
+    s = starts(spark, d, "race_id", "trainer_id", "post", "auto", "gal")
     s = s.join(extra, on) if extra is not None else s
     r = asof.asof_rate(s, keys, "race_date", F.col("gal"), F.lit(True))
     return r.select(*keys, "race_date", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.round("rate", 6).alias("gal_rate"))
@@ -151,13 +160,13 @@ def zscore_in_race(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {S} SELECT entry_id, coalesce(sum(gal::INT) OVER (PARTITION BY horse_id ORDER BY race_date, entry_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0)::BIGINT gals_last5 FROM s")
 def last5_sum(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select("entry_id", F.coalesce(F.sum(F.col("gal").cast("int")).over(before(["horse_id"], ORDER, 5)), F.lit(0)).alias("gals_last5"))
+    return starts(spark, d, "gal").select("entry_id", F.coalesce(F.sum(F.col("gal").cast("int")).over(before(["horse_id"], ORDER, 5)), F.lit(0)).alias("gals_last5"))
 
 
 @query(f"""WITH {S}, n AS (SELECT *, row_number() OVER (PARTITION BY horse_id ORDER BY race_date, entry_id) rn2 FROM s)
 SELECT entry_id, greatest(rn2 - 1 - coalesce(max(CASE WHEN NOT gal THEN rn2 END) OVER h, 0), 0)::INT on_streak, greatest(rn2 - 1 - coalesce(max(CASE WHEN gal THEN rn2 END) OVER h, 0), 0)::INT off_streak FROM n WINDOW h AS ({HORSE} {PRIOR})""")
 def streaks(spark: SparkSession, d: str) -> DataFrame:
-    return asof.streaks(starts(spark, d), ["horse_id"], ORDER, F.col("gal")).select("entry_id", "on_streak", "off_streak")
+    return asof.streaks(starts(spark, d, "gal"), ["horse_id"], ORDER, F.col("gal")).select("entry_id", "on_streak", "off_streak")
 
 
 @query(f"""WITH {S} SELECT entry_id, CASE WHEN lag(auto) OVER h IS NULL THEN NULL ELSE auto IS DISTINCT FROM lag(auto) OVER h END method_switch,
@@ -167,21 +176,21 @@ def switch_flags(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("horse_id").orderBy(*ORDER)
     known = F.lag("auto").over(w).isNotNull()
     switched = lambda c: F.when(known, ~F.col(c).eqNullSafe(F.lag(c).over(w)))
-    return starts(spark, d).select("entry_id", switched("auto").alias("method_switch"), switched("shoe_code").alias("shoe_switch"), switched("driver_id").alias("driver_switch"), (F.col("distance") - F.lag("distance").over(w)).alias("distance_delta"))
+    return starts(spark, d, "auto", "shoe_code", "driver_id", "distance").select("entry_id", switched("auto").alias("method_switch"), switched("shoe_code").alias("shoe_switch"), switched("driver_id").alias("driver_switch"), (F.col("distance") - F.lag("distance").over(w)).alias("distance_delta"))
 
 
 @query(f"WITH {S} SELECT entry_id, round(avg(placement) OVER (PARTITION BY horse_id ORDER BY race_date, entry_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) avg_place10 FROM s")
 def avg_last10(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select("entry_id", F.round(F.avg("placement").over(before(["horse_id"], ORDER, 10)), 6).alias("avg_place10"))
+    return starts(spark, d, "placement").select("entry_id", F.round(F.avg("placement").over(before(["horse_id"], ORDER, 10)), 6).alias("avg_place10"))
 
 
 @query(f"WITH {S} SELECT entry_id, count(*) OVER (PARTITION BY horse_id {DAY} RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) starts_90d FROM s")
 def starts_90d(spark: SparkSession, d: str) -> DataFrame:
-    return starts(spark, d).select("entry_id", F.count(F.lit(1)).over(days_before(["horse_id"], "day", 90)).alias("starts_90d"))
+    return starts(spark, d, "day").select("entry_id", F.count(F.lit(1)).over(days_before(["horse_id"], "day", 90)).alias("starts_90d"))
 
 
 def _form_rows(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.market_outperformance(fact(spark, d)).where("trainer_id is not null").withColumns({"beat": (F.col("fin_rank") < F.col("odds_rank")).cast("int"), "day": F.unix_date("race_date")})
+    return ranking.market_outperformance(fact(spark, d, *ranking.MARKET, "trainer_id", "race_date")).where("trainer_id is not null").withColumns({"beat": (F.col("fin_rank") < F.col("odds_rank")).cast("int"), "day": F.unix_date("race_date")})
 
 
 @query(f"""WITH {E}, {_OUTPERF}, y AS (SELECT trainer_id, race_date, count(*) n, sum(market_outperf::DECIMAL(18, 6)) pb, sum((frank < orank)::INT) bt FROM mo WHERE trainer_id IS NOT NULL GROUP BY ALL)
@@ -229,7 +238,7 @@ def form_shrunk(spark: SparkSession, d: str) -> DataFrame:
 SELECT trainer_id, race_date, {', '.join(f"(sum(pp) OVER w{k})::DOUBLE / nullif(sum(n) OVER w{k}, 0) perf_{k}, (sum(w) OVER w{k})::DOUBLE / nullif(sum(n) OVER w{k}, 0) winrate_{k}" for k in (30, 90))}
 FROM y WINDOW {', '.join(f"w{k} AS (PARTITION BY trainer_id {DAY} RANGE BETWEEN INTERVAL {k} DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)" for k in (30, 90))}""")
 def perf_30_90(spark: SparkSession, d: str) -> DataFrame:
-    y = asof.daily(ranking.finish_percentile(fact(spark, d)), ["trainer_id"], "race_date", {"n": F.count(F.lit(1)), "pp": F.sum(F.col("perf").cast("decimal(18,6)")), "w": F.count(F.when(F.col("placement") == 1, 1))}).withColumn("day", F.unix_date("race_date"))
+    y = asof.daily(ranking.finish_percentile(fact(spark, d, *ranking.FINISH, "trainer_id", "race_date")), ["trainer_id"], "race_date", {"n": F.count(F.lit(1)), "pp": F.sum(F.col("perf").cast("decimal(18,6)")), "w": F.count(F.when(F.col("placement") == 1, 1))}).withColumn("day", F.unix_date("race_date"))
     out = []
     for k in (30, 90):
         w = days_before(["trainer_id"], "day", k)
@@ -274,7 +283,7 @@ def fx_asof_tolerance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {S}, a AS (SELECT entry_id, race_id, (count(CASE WHEN gal THEN 1 END) OVER h)::DOUBLE / nullif(count(*) OVER h, 0) r FROM s WINDOW h AS ({HORSE} {PRIOR})) SELECT entry_id, round((sum(r) OVER f - coalesce(r, 0)) / nullif(count(r) OVER f - (r IS NOT NULL)::INT, 0), 6) field_rate FROM a WINDOW f AS (PARTITION BY race_id)")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     n = F.count(F.lit(1)).over(_prior())
-    a = starts(spark, d).select("entry_id", "race_id", (F.count(F.when(F.col("gal"), 1)).over(_prior()).cast("double") / F.when(n != 0, n)).alias("r"))
+    a = starts(spark, d, "race_id", "gal").select("entry_id", "race_id", (F.count(F.when(F.col("gal"), 1)).over(_prior()).cast("double") / F.when(n != 0, n)).alias("r"))
     w = Window.partitionBy("race_id")
     others = F.count("r").over(w) - F.col("r").isNotNull().cast("int")
     return a.select("entry_id", F.round((F.sum("r").over(w) - F.coalesce("r", F.lit(0.0))) / F.when(others != 0, others), 6).alias("field_rate"))
@@ -283,7 +292,7 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {S}, {_DAILY}, pk AS (SELECT DISTINCT driver_id, race_date + 3 as_of FROM s WHERE driver_id IS NOT NULL AND day(race_date) <= 5)
 SELECT pk.driver_id, pk.as_of, coalesce(sum(dd.starts), 0)::BIGINT starts, coalesce(sum(dd.wins), 0)::BIGINT wins FROM pk LEFT JOIN dd ON dd.driver_id = pk.driver_id AND dd.race_date >= pk.as_of - 30 AND dd.race_date < pk.as_of GROUP BY ALL""")
 def asof_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = starts(spark, d)
+    s = starts(spark, d, "driver_id", "won")
     return _asof_pairs(s, s.where("day(race_date) <= 5"))
 
 
@@ -291,7 +300,7 @@ def asof_pairs(spark: SparkSession, d: str) -> DataFrame:
 SELECT pk.driver_id, pk.as_of, coalesce(sum(dd.starts), 0)::BIGINT starts, coalesce(sum(dd.wins), 0)::BIGINT wins FROM pk LEFT JOIN dd ON dd.driver_id = pk.driver_id AND dd.race_date >= pk.as_of - 30 AND dd.race_date < pk.as_of GROUP BY ALL""")
 def asof_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """The same for every driver and race day."""
-    s = starts(spark, d)
+    s = starts(spark, d, "driver_id", "won")
     return _asof_pairs(s, s.where("race_date is not null"))
 
 
@@ -324,7 +333,8 @@ auto = false AND post IN (6, 7) is_springspar, auto AND post >= 9 is_bakspar, CA
 placement = 1 AND NOT dq y_win, placement BETWEEN 1 AND 3 AND NOT dq y_top3
 FROM s LEFT JOIN dr ON dr.driver_id = s.driver_id AND dr.race_date = s.race_date LEFT JOIN tr ON tr.trainer_id = s.trainer_id AND tr.race_date = s.race_date LEFT JOIN q ON q.race_id = s.race_id WINDOW h AS (PARTITION BY s.horse_id ORDER BY s.race_date, s.entry_id {PRIOR})""")
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    s = starts(spark, d)
+    plain = cut(starts(spark, d, "won", "gal", "dq", "day", "trainer_id", "driver_id", "race_id", "earnings_pre", "program_number", "auto", "post", "placement"), "starts").df
+    s = plain
     last = Window.partitionBy("horse_id").orderBy(*ORDER)
     n = F.count(F.lit(1)).over(_prior())
     share = lambda c: F.round(F.count(F.when(F.col(c), 1)).over(_prior()).cast("double") / F.when(n != 0, n), 6)
@@ -335,7 +345,6 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
         "earnings_rank": F.when(F.col("race_id").isNotNull(), F.rank().over(Window.partitionBy("race_id").orderBy(F.col("earnings_pre").desc_nulls_last())).cast("bigint")),
         "n_starters": F.when(F.col("race_id").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("race_id"))), "max_pgm": F.when(F.col("race_id").isNotNull(), F.max("program_number").over(Window.partitionBy("race_id"))),
     })
-    plain = starts(spark, d)
     out = s.join(_people(plain, "driver_id", "driver"), ["driver_id", "race_date"], "left").join(_people(plain, "trainer_id", "trainer").drop("trainer_winrate_30d"), ["trainer_id", "race_date"], "left")
     return out.withColumns({
         "driver_starts": F.coalesce("driver_starts", F.lit(0)), "trainer_starts": F.coalesce("trainer_starts", F.lit(0)), "driver_winrate_30d": F.round("driver_winrate_30d", 6),

@@ -16,7 +16,7 @@ _SCORED = f"{E}, {_OUTPERF}, sc AS (SELECT entry_id, share score, coalesce(place
 
 
 def _shares(spark: SparkSession, d: str) -> DataFrame:
-    r = ranking.market_outperformance(fact(spark, d))
+    r = ranking.market_outperformance(fact(spark, d, *ranking.MARKET, "placement", "disqualified"))
     return cut(r.select("entry_id", F.round("share", 9).alias("score"), F.coalesce((F.col("placement") == 1) & ~F.coalesce("disqualified", F.lit(False)), F.lit(False)).alias("won")), "scores").df
 
 

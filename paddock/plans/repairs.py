@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paddock.operators import predicates as P
-from paddock.plans.base import START, WIN, E, fact, flagged, n_if, query, total
+from paddock.plans.base import START, WIN, E, fact, flagged_fact, n_if, query, total
 from paddock.plans.browse import paged
 from paddock.plans.statistics import _ROLES, _roles
 from paddock.runtime import table
@@ -68,7 +68,7 @@ def browse_persons(spark: SparkSession, d: str) -> DataFrame:
     """A page of people by form, with the number of all matches."""
     from paddock.functions.parse import permille
 
-    s = _roles(flagged(fact(spark, d))).groupBy("role", "person_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize_kr"))
+    s = _roles(flagged_fact(spark, d, "driver_id", "trainer_id", "prize_kr")).groupBy("role", "person_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize_kr"))
     s = s.where(P.all_of(P.between("starts", 5, 100_000)))
     out = s.select("*", permille(F.col("starts"), F.col("wins")).alias("form"))
     return paged(out, [F.col("form").desc_nulls_last(), F.desc("prize_kr"), F.col("role"), F.col("person_id")], 5, 40)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from paddock.operators import predicates as P
 from paddock.operators import ranking
 from paddock.operators.asof import rate
-from paddock.plans.base import ND, PLACED, START, WIN, E, Q, fact, flagged, n_if, query, total
-from paddock.runtime import table
+from paddock.plans.base import FLAGS, ND, PLACED, START, WIN, E, Q, fact, flagged, flagged_fact, n_if, query, total
+from paddock.runtime import cut, table
 
 WEEK30, LEAST_STARTS = 30, 7
 
@@ -33,7 +33,7 @@ SELECT h.horse_id, greatest(coalesce(starts, 0), coalesce(scraped_starts, 0)) st
 coalesce(placed, 0) placed, coalesce(qualifiers, 0) qualifiers, greatest(coalesce(prize_money_kr, 0), coalesce(scraped_prize_money_kr, 0)) prize_money_kr, first_start, last_start
 FROM horse h LEFT JOIN c USING (horse_id) WHERE c.horse_id IS NOT NULL OR h.scraped_starts IS NOT NULL""")
 def career_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = flagged(fact(spark, d)).where("horse_id is not null").groupBy("horse_id").agg(*_counts(), F.min("race_date").alias("first_start"), F.max("race_date").alias("last_start"), F.lit(True).alias("ran"))
+    c = flagged_fact(spark, d, "horse_id", "prize_kr", "race_date").where("horse_id is not null").groupBy("horse_id").agg(*_counts(), F.min("race_date").alias("first_start"), F.max("race_date").alias("last_start"), F.lit(True).alias("ran"))
     h = table(spark, d, "horse").select("horse_id", "scraped_starts", "scraped_wins", "scraped_prize_money_kr")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     best = lambda a, b: F.greatest(zero(a), zero(b)).alias(a)
@@ -43,7 +43,7 @@ def career_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {E} SELECT horse_id, year(race_date)::INT AS \"year\", {_COUNTS} FROM e WHERE horse_id IS NOT NULL GROUP BY ALL")
 def year_stats(spark: SparkSession, d: str) -> DataFrame:
-    return flagged(fact(spark, d)).where("horse_id is not null").groupBy("horse_id", F.year("race_date").alias("year")).agg(*_counts())
+    return flagged_fact(spark, d, "horse_id", "prize_kr", "race_date").where("horse_id is not null").groupBy("horse_id", F.year("race_date").alias("year")).agg(*_counts())
 
 
 def _roles(e: DataFrame) -> DataFrame:
@@ -57,16 +57,16 @@ _ROLES = "r AS (SELECT 'driver' AS \"role\", driver_id person_id, * FROM e WHERE
 
 @query(f"WITH {E}, {_ROLES} SELECT \"role\", person_id, {_COUNTS} FROM r GROUP BY ALL")
 def person_career_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _roles(flagged(fact(spark, d))).groupBy("role", "person_id").agg(*_counts())
+    return _roles(flagged_fact(spark, d, "driver_id", "trainer_id", "prize_kr")).groupBy("role", "person_id").agg(*_counts())
 
 
 @query(f"WITH {E}, {_ROLES} SELECT \"role\", person_id, {_COUNTS}, count(DISTINCT horse_id) horses, min(race_date) first_start, max(race_date) last_start FROM r GROUP BY ALL")
 def person_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _roles(flagged(fact(spark, d))).groupBy("role", "person_id").agg(*_counts(), F.countDistinct("horse_id").alias("horses"), F.min("race_date").alias("first_start"), F.max("race_date").alias("last_start"))
+    return _roles(flagged_fact(spark, d, "driver_id", "trainer_id", "prize_kr", "horse_id", "race_date")).groupBy("role", "person_id").agg(*_counts(), F.countDistinct("horse_id").alias("horses"), F.min("race_date").alias("first_start"), F.max("race_date").alias("last_start"))
 
 
 def _with_track(spark: SparkSession, d: str) -> DataFrame:
-    return flagged(fact(spark, d)).join(table(spark, d, "race").select("race_id", "track_id", F.col("race_number")), "race_id")
+    return flagged_fact(spark, d, "race_id", "auto", "post", "odds", "race_date").join(table(spark, d, "race").select("race_id", "track_id", F.col("race_number")), "race_id")
 
 
 _TRACK = f"{E}, t AS (SELECT e.*, race.track_id, race.race_number FROM e JOIN race USING (race_id))"
@@ -129,7 +129,7 @@ o AS (SELECT parent horse_id, count(DISTINCT k.horse_id) foals, coalesce(sum(s.w
 SELECT h.horse_id, h.name, coalesce(s.starts, 0) starts, coalesce(s.wins, 0) wins, l.last_trainer, coalesce(o.foals, 0) foals, coalesce(o.foal_wins, 0)::BIGINT foal_wins, f.name sire, m.name dam, g.name dam_sire
 FROM horse h LEFT JOIN s USING (horse_id) LEFT JOIN l USING (horse_id) LEFT JOIN o USING (horse_id) LEFT JOIN horse f ON f.horse_id = h.sire_id LEFT JOIN horse m ON m.horse_id = h.dam_id LEFT JOIN horse g ON g.horse_id = m.sire_id""")
 def horse_stats_wide(spark: SparkSession, d: str) -> DataFrame:
-    e = flagged(fact(spark, d)).where("horse_id is not null")
+    e = flagged_fact(spark, d, "horse_id", "trainer_id", "race_date").where("horse_id is not null")
     s = e.groupBy("horse_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), F.max(F.when(F.col("trainer_id").isNotNull(), F.struct("race_date", "entry_id", "trainer_id"))).alias("l"))
     s = s.select("horse_id", "starts", "wins", F.col("l.trainer_id").alias("last_trainer"))
     h = table(spark, d, "horse").select("horse_id", "name", "sire_id", "dam_id")
@@ -144,7 +144,7 @@ def horse_stats_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {E}, {_ROLES}, s AS (SELECT \"role\", person_id, {n_if(START)} starts, {n_if(WIN)} wins, coalesce(sum(prize_kr), 0)::BIGINT prize_kr FROM r GROUP BY ALL HAVING {n_if(START)} >= 10) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY \"role\" ORDER BY wins DESC, prize_kr DESC, person_id) <= 25")
 def top_people(spark: SparkSession, d: str) -> DataFrame:
-    s = _roles(flagged(fact(spark, d))).groupBy("role", "person_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize_kr")).where("starts >= 10")
+    s = _roles(flagged_fact(spark, d, "driver_id", "trainer_id", "prize_kr")).groupBy("role", "person_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize_kr")).where("starts >= 10")
     w = Window.partitionBy("role").orderBy(F.desc("wins"), F.desc("prize_kr"), "person_id")
     return s.withColumn("rn", F.row_number().over(w)).where("rn <= 25").drop("rn")
 
@@ -153,7 +153,7 @@ def top_people(spark: SparkSession, d: str) -> DataFrame:
 o AS (SELECT h.sire_id, count(DISTINCT h.horse_id) foals, sum(starts)::BIGINT starts, sum(wins)::BIGINT wins, sum(prize)::BIGINT prize_kr FROM horse h JOIN s USING (horse_id) WHERE h.sire_id IS NOT NULL GROUP BY ALL HAVING sum(starts) >= 5)
 SELECT *, round(prize_kr::DOUBLE / foals, 2) prize_per_foal FROM o ORDER BY prize_kr DESC, sire_id LIMIT 50""")
 def top_offspring(spark: SparkSession, d: str) -> DataFrame:
-    s = flagged(fact(spark, d)).groupBy("horse_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize"))
+    s = flagged_fact(spark, d, "horse_id", "prize_kr").groupBy("horse_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize"))
     o = table(spark, d, "horse").select("horse_id", "sire_id").where("sire_id is not null").join(s, "horse_id").groupBy("sire_id").agg(F.countDistinct("horse_id").alias("foals"), total("starts").alias("starts"), total("wins").alias("wins"), total("prize").alias("prize_kr"))
     return o.where("starts >= 5").withColumn("prize_per_foal", F.round(F.col("prize_kr").cast("double") / F.col("foals"), 2)).orderBy(F.desc("prize_kr"), "sire_id").limit(50)
 
@@ -168,28 +168,26 @@ FROM e WHERE placement > 0 AND NOT coalesce(withdrawn, false) AND NOT {Q} AND ra
 
 @query(f"WITH {E}, {_OUTPERF} SELECT entry_id, race_date, market_outperf FROM mo")
 def market_outperf(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.market_outperformance(fact(spark, d)).select("entry_id", "race_date", "market_outperf")
+    return ranking.market_outperformance(fact(spark, d, *ranking.MARKET, "race_date")).select("entry_id", "race_date", "market_outperf")
 
 
 @query(f"WITH {E}, {_PERF} SELECT entry_id, race_date, perf FROM pf")
 def finish_percentile(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.finish_percentile(fact(spark, d)).select("entry_id", "race_date", "perf")
+    return ranking.finish_percentile(fact(spark, d, *ranking.FINISH, "race_date")).select("entry_id", "race_date", "perf")
 
 
 @query(f"""WITH {E}, {_OUTPERF} SELECT entry_id, round(share, 6) implied, round((CASE WHEN placement = 1 AND {ND} THEN 1 ELSE 0 END) - share, 6) win_resid, (frank < orank)::INT beat FROM mo""")
 def implied_prob_residual(spark: SparkSession, d: str) -> DataFrame:
-    r = ranking.market_outperformance(fact(spark, d))
+    r = ranking.market_outperformance(fact(spark, d, *ranking.MARKET, "placement", "disqualified"))
     win = F.when(P.won(), 1).otherwise(0)
     return r.select("entry_id", F.round("share", 6).alias("implied"), F.round(win - F.col("share"), 6).alias("win_resid"), (F.col("fin_rank") < F.col("odds_rank")).cast("int").alias("beat"))
 
 
 def _leaders(spark: SparkSession, d: str) -> DataFrame:
     """Drivers' last 365 days beside their career."""
-    e = flagged(fact(spark, d))
-    last = e.agg(F.max("race_date")).first()[0]
-    mo = ranking.market_outperformance(e).select("entry_id", "market_outperf")
-    pf = ranking.finish_percentile(e).select("entry_id", "perf")
-    r = e.where("driver_id is not null").join(mo, "entry_id", "left").join(pf, "entry_id", "left")
+    known = cut(fact(spark, d, *dict.fromkeys([*ranking.MARKET, *ranking.FINISH, *FLAGS, "driver_id", "race_date"])), "standing", last=F.max("race_date"))
+    last = known.seen["last"]
+    r = ranking.both_measures(flagged(known.df)).where("driver_id is not null")
     recent = F.col("race_date") >= F.date_sub(F.lit(last).cast("date"), 365)
     at = lambda c: F.when(recent, c)
     s = r.groupBy("driver_id").agg(
@@ -217,7 +215,7 @@ def form_leaders_cold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {E}, s AS (SELECT trainer_id, horse_id, {n_if(START)} starts, {n_if(WIN)} wins, coalesce(sum(prize_kr), 0)::BIGINT prize_kr FROM e WHERE trainer_id IS NOT NULL AND horse_id IS NOT NULL GROUP BY ALL HAVING {n_if(START)} >= 2) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY trainer_id ORDER BY prize_kr DESC, horse_id) <= 5")
 def trainer_top_horses(spark: SparkSession, d: str) -> DataFrame:
-    s = flagged(fact(spark, d)).where("trainer_id is not null and horse_id is not null").groupBy("trainer_id", "horse_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize_kr")).where("starts >= 2")
+    s = flagged_fact(spark, d, "trainer_id", "horse_id", "prize_kr").where("trainer_id is not null and horse_id is not null").groupBy("trainer_id", "horse_id").agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"), total("prize_kr").alias("prize_kr")).where("starts >= 2")
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("trainer_id").orderBy(F.desc("prize_kr"), "horse_id"))).where("rn <= 5").drop("rn")
 
 
@@ -225,7 +223,7 @@ def trainer_top_horses(spark: SparkSession, d: str) -> DataFrame:
 SELECT driver_id, "month", starts, wins, round(sum(wins) OVER c * 1000.0::DOUBLE / nullif(sum(starts) OVER c, 0), 6) career_rate, round(sum(wins) OVER q * 1000.0::DOUBLE / nullif(sum(starts) OVER q, 0), 6) quarter_rate
 FROM m WINDOW c AS (PARTITION BY driver_id ORDER BY "month"), q AS (PARTITION BY driver_id ORDER BY "month" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def monthly_form_series(spark: SparkSession, d: str) -> DataFrame:
-    m = flagged(fact(spark, d)).where("driver_id is not null").groupBy("driver_id", F.trunc("race_date", "month").alias("month")).agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"))
+    m = flagged_fact(spark, d, "driver_id", "race_date").where("driver_id is not null").groupBy("driver_id", F.trunc("race_date", "month").alias("month")).agg(P.count_if(F.col("is_start")).alias("starts"), P.count_if(F.col("is_win")).alias("wins"))
     w = Window.partitionBy("driver_id").orderBy("month")
     over = lambda f: F.round(F.sum("wins").over(f) * F.lit(1000.0) / F.when(F.sum("starts").over(f) != 0, F.sum("starts").over(f)), 6)
     return m.select("driver_id", "month", "starts", "wins", over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("career_rate"), over(w.rowsBetween(-2, 0)).alias("quarter_rate"))
@@ -237,7 +235,7 @@ FROM e LEFT JOIN s ON s.horse_id = e.horse_id AND s.race_date < e.race_date GROU
 def pre_race_snapshot(spark: SparkSession, d: str) -> DataFrame:
     from paddock.operators.asof import cumulative
 
-    e = flagged(fact(spark, d))
+    e = flagged_fact(spark, d, "horse_id", "race_date", "galopp")
     s = cumulative(e, ["horse_id"], "race_date", {"starts": P.count_if(F.col("is_start")), "wins": P.count_if(F.col("is_win")), "clean_starts": P.count_if(F.col("is_start") & ~F.col("galopp"))})
     return e.select("entry_id", "horse_id", "race_date").join(s, ["horse_id", "race_date"], "left").select("entry_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("starts", "wins", "clean_starts")))
 

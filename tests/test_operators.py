@@ -117,7 +117,7 @@ def test_sql_functions(spark):
 def test_asof_pairs_on_every_day(spark, small):
     from paddock.plans.features import asof_pairs_all, starts
 
-    s = starts(spark, small).where("driver_id is not null and race_date is not null").select("driver_id", "race_date", "won").collect()
+    s = starts(spark, small, "driver_id", "won").where("driver_id is not null and race_date is not null").select("driver_id", "race_date", "won").collect()
     want = {(k.driver_id, k.race_date + dt.timedelta(3)) for k in s}
     got = {(r.driver_id, r.as_of): (r.starts, r.wins) for r in asof_pairs_all(spark, small).collect()}
     assert set(got) == want and any(day.day > 8 for _, day in want)
