@@ -252,10 +252,9 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     return fact(spark, d, "horse_id", "trainer_id", "race_date").where("horse_id is not null and trainer_id is not null").groupBy("horse_id").agg(F.max_by("trainer_id", F.struct("race_date", "entry_id")).alias("trainer_id"), F.max("race_date").alias("race_date"))
 
 
-@query(f"""WITH {E}, x AS (SELECT race_id, coalesce(max(placement), 0) top FROM e GROUP BY race_id) SELECT e.entry_id, (x.top + row_number() OVER (PARTITION BY e.race_id ORDER BY time_seconds, e.entry_id))::INT placement
-FROM e JOIN x USING (race_id) WHERE e.placement IS NULL AND time_seconds BETWEEN 60 AND 100 AND NOT withdrawn""")
-def rank_continuation(spark: SparkSession, d: str) -> DataFrame:
-    e = fact(spark, d, "race_id", "placement", "time_seconds", "withdrawn").where("race_id is not null")
+def ranks_continued(results: DataFrame) -> DataFrame:
+    """Places after the last one for timed starters that have none, by time."""
+    e = results.where("race_id is not null")
     e = e.withColumn("top", F.coalesce(F.max("placement").over(Window.partitionBy("race_id")), F.lit(0)))
     todo = e.where("placement is null and time_seconds between 60 and 100 and not withdrawn")
     return todo.select("entry_id", (F.col("top") + F.row_number().over(Window.partitionBy("race_id").orderBy("time_seconds", "entry_id"))).cast("int").alias("placement"))

@@ -63,26 +63,6 @@ def cross_track_pairs(spark: SparkSession, d: str) -> DataFrame:
     return r.join(o, ["race_date", "race_number", "distance"]).where("track_id < t2").select("race_id", "other_id")
 
 
-_CO = f"""{E}, c AS (SELECT driver_id, trainer_id, count(DISTINCT horse_id) shared FROM e WHERE driver_id IS NOT NULL AND trainer_id IS NOT NULL AND horse_id IS NOT NULL GROUP BY ALL)"""
-
-
-def _shared(spark: SparkSession, d: str) -> DataFrame:
-    e = fact(spark, d, "driver_id", "trainer_id", "horse_id").dropna()
-    return e.groupBy("driver_id", "trainer_id").agg(F.countDistinct("horse_id").alias("shared"))
-
-
-@query(f"WITH {_CO} SELECT * FROM c WHERE shared >= 3")
-def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    return _shared(spark, d).where("shared >= 3")
-
-
-@query(f"""WITH {_CO}, x AS (SELECT *, row_number() OVER (PARTITION BY driver_id ORDER BY shared DESC, trainer_id) l, row_number() OVER (PARTITION BY trainer_id ORDER BY shared DESC, driver_id) r,
-lead(shared) OVER (PARTITION BY driver_id ORDER BY shared DESC, trainer_id) l2, lead(shared) OVER (PARTITION BY trainer_id ORDER BY shared DESC, driver_id) r2 FROM c)
-SELECT driver_id, trainer_id, shared FROM x WHERE l = 1 AND r = 1 AND coalesce(l2 < shared * 0.9, true) AND coalesce(r2 < shared * 0.9, true)""")
-def mutual_best(spark: SparkSession, d: str) -> DataFrame:
-    return I.mutual_best(_shared(spark, d), "driver_id", "trainer_id", "shared", 0.9)
-
-
 @query(f"""WITH {E}, f AS (SELECT race_id, list_sort(list(DISTINCT horse_id)) horses FROM e WHERE race_id IS NOT NULL AND horse_id IS NOT NULL GROUP BY race_id),
 p AS (SELECT a.race_id, b.race_id other_id FROM race a JOIN race b ON a.race_date = b.race_date AND a.race_number = b.race_number AND a.race_id < b.race_id)
 SELECT p.race_id, p.other_id, len(list_intersect(x.horses, y.horses))::INT shared, round(len(list_intersect(x.horses, y.horses))::DOUBLE / len(list_distinct(list_concat(x.horses, y.horses))), 6) score
@@ -96,13 +76,13 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("race_id", "other_id", F.size(F.array_intersect("horses", "others")).alias("shared"), F.round(I.jaccard("horses", "others"), 6).alias("score"))
 
 
-@query(f"""WITH {_H}, r AS (SELECT raw_id, {_norm_sql('name')} nn, {_norm_sql('sire_name')} s FROM horse_raw), a AS (SELECT nn, {_norm_sql('sire_name')} s, min(horse_id) horse_id FROM h WHERE {_norm_sql('sire_name')} <> '' GROUP BY ALL), b AS (SELECT nn, min(horse_id) horse_id FROM h GROUP BY nn HAVING count(*) = 1)
+@query(f"""WITH {_H}, r AS (SELECT raw_id, {_norm_sql('name')} nn, {_norm_sql('sire_name')} s FROM horse_raw), a AS (SELECT nn, {_norm_sql('sire_name')} s, min(horse_id) horse_id FROM h WHERE {_norm_sql('sire_name')} <> '' GROUP BY ALL HAVING count(*) = 1), b AS (SELECT nn, min(horse_id) horse_id FROM h GROUP BY nn HAVING count(*) = 1)
 SELECT r.raw_id, coalesce(a.horse_id, b.horse_id) horse_id, CASE WHEN a.horse_id IS NOT NULL THEN 'name+sire' WHEN b.horse_id IS NOT NULL THEN 'name' END how FROM r LEFT JOIN a ON a.nn = r.nn AND a.s = r.s LEFT JOIN b ON b.nn = r.nn""")
 def cascade_match(spark: SparkSession, d: str) -> DataFrame:
-    """Foreign records matched by name and sire, else by a name only one horse has."""
+    """Foreign records matched by name and sire, else by name alone, where just one horse has them."""
     h = _named(spark, d, "sire_name").withColumn("s", normalize_name(F.col("sire_name")))
     r = table(spark, d, "horse_raw").select("raw_id", normalize_name(F.col("name")).alias("nn"), normalize_name(F.col("sire_name")).alias("s"))
-    strict = r.join(h.where("s <> ''").groupBy("nn", "s").agg(F.min("horse_id").alias("horse_id")), ["nn", "s"]).select("raw_id", "horse_id")
+    strict = r.join(h.where("s <> ''").groupBy("nn", "s").agg(F.min("horse_id").alias("horse_id"), F.count(F.lit(1)).alias("k")).where("k = 1"), ["nn", "s"]).select("raw_id", "horse_id")
     single = h.groupBy("nn").agg(F.min("horse_id").alias("horse_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     loose = r.join(single, "nn").select("raw_id", "horse_id")
     return I.cascade(r.select("raw_id"), "raw_id", [("name+sire", strict), ("name", loose)], "horse_id")
@@ -201,7 +181,7 @@ def watermark_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {E} SELECT e.entry_id, e.horse_id, (e.race_date - h.date_of_birth)::INT age_days FROM e JOIN horse h USING (horse_id) WHERE e.race_date - h.date_of_birth > 6570")
-def audit_a(spark: SparkSession, d: str) -> DataFrame:
+def starts_after_18_years(spark: SparkSession, d: str) -> DataFrame:
     """Starts of horses older than 18 years."""
     j = fact(spark, d, "horse_id", "race_date").join(table(spark, d, "horse").select("horse_id", "date_of_birth"), "horse_id")
     age = F.datediff("race_date", "date_of_birth")
@@ -209,58 +189,34 @@ def audit_a(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_H} SELECT nn, count(*) n FROM h WHERE sire_id IS NOT NULL GROUP BY nn, sire_id HAVING count(*) > 1")
-def audit_b(spark: SparkSession, d: str) -> DataFrame:
+def namesakes_by_sire(spark: SparkSession, d: str) -> DataFrame:
     """Namesakes by the same sire."""
     return _named(spark, d, "sire_id").where("sire_id is not null").groupBy("nn", "sire_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("nn", "n")
 
 
 @query("SELECT c.horse_id, p.horse_id parent_id FROM horse c JOIN horse p ON p.horse_id = c.sire_id OR p.horse_id = c.dam_id WHERE p.date_of_birth >= c.date_of_birth")
-def audit_c(spark: SparkSession, d: str) -> DataFrame:
+def parents_not_older(spark: SparkSession, d: str) -> DataFrame:
     """Parents not older than their foal."""
     h = table(spark, d, "horse").select("horse_id", "date_of_birth", "sire_id", "dam_id")
     kids = h.select("horse_id", F.col("date_of_birth").alias("born"), F.explode(F.array_distinct(F.array("sire_id", "dam_id"))).alias("parent_id"))
     return kids.join(h.select(F.col("horse_id").alias("parent_id"), "date_of_birth"), "parent_id").where("date_of_birth >= born").select("horse_id", "parent_id")
 
 
-@query(f"WITH {E} SELECT race_id, horse_id, count(*) n FROM e WHERE race_id IS NOT NULL AND horse_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
-def audit_d(spark: SparkSession, d: str) -> DataFrame:
-    """Horses entered twice in a race."""
-    return fact(spark, d, "race_id", "horse_id").dropna().groupBy("race_id", "horse_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 @query("SELECT 'registration' AS \"key\", count(*) n FROM (SELECT registration_number FROM horse WHERE registration_number IS NOT NULL GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'st_id', count(*) FROM (SELECT st_id FROM horse WHERE st_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)")
-def audit_e(spark: SparkSession, d: str) -> DataFrame:
+def repeated_key_counts(spark: SparkSession, d: str) -> DataFrame:
     """Keys that should be unique and aren't."""
     h = table(spark, d, "horse")
     one = lambda k, c: h.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").agg(F.lit(k).alias("key"), F.count(F.lit(1)).alias("n"))
     return one("registration", "registration_number").unionByName(one("st_id", "st_id"))
 
 
-@query("SELECT race_date, track_id, race_number, count(*) n, min(race_id) keep FROM race WHERE track_id IS NOT NULL AND race_number IS NOT NULL AND race_date IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
-def audit_f(spark: SparkSession, d: str) -> DataFrame:
-    """Races with the same day, track and number."""
-    return table(spark, d, "race").dropna(subset=["race_date", "track_id", "race_number"]).groupBy("race_date", "track_id", "race_number").agg(F.count(F.lit(1)).alias("n"), F.min("race_id").alias("keep")).where("n > 1")
-
-
-@query("SELECT lower(name) \"name\", country, count(*) n FROM track WHERE name IS NOT NULL AND country IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
-def audit_h(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks with the same name and country."""
-    return table(spark, d, "track").groupBy(F.lower("name").alias("name"), "country").agg(F.count(F.lit(1)).alias("n")).where("name is not null and country is not null and n > 1")
-
-
 @query(f"WITH {E} SELECT entry_id, placement, placement_text FROM e WHERE regexp_matches(placement_text, '^[1-9][0-9]?$') AND TRY_CAST(placement_text AS INT) BETWEEN 1 AND 15 AND placement IS DISTINCT FROM TRY_CAST(placement_text AS INT)")
-def audit_i(spark: SparkSession, d: str) -> DataFrame:
+def placement_text_disagrees(spark: SparkSession, d: str) -> DataFrame:
     """Placement numbers that disagree with their text."""
     n = F.col("placement_text").try_cast("int")
     return fact(spark, d, "placement", "placement_text").where(F.col("placement_text").rlike("^[1-9][0-9]?$") & n.between(1, 15) & ~F.col("placement").eqNullSafe(n)).select("entry_id", "placement", "placement_text")
 
 
-@query(f"WITH {E} SELECT race_id, count(*) entries, count(placement) placed FROM e WHERE race_id IS NOT NULL GROUP BY race_id HAVING count(placement) = 0 OR max(program_number) > count(*)")
-def incomplete_results(spark: SparkSession, d: str) -> DataFrame:
-    g = fact(spark, d, "race_id", "placement", "program_number").where("race_id is not null").groupBy("race_id").agg(F.count(F.lit(1)).alias("entries"), F.count("placement").alias("placed"), F.max("program_number").alias("top"))
-    return g.where("placed = 0 or top > entries").select("race_id", "entries", "placed")
-
-
 @query(f"WITH {E} SELECT e.entry_id, abs(e.age - (year(e.race_date) - year(h.date_of_birth)))::INT off FROM e JOIN horse h USING (horse_id) WHERE abs(e.age - (year(e.race_date) - year(h.date_of_birth))) > 1 AND e.race_date > h.date_of_birth + INTERVAL 6 MONTHS")
 def age_mismatch(spark: SparkSession, d: str) -> DataFrame:
     j = fact(spark, d, "horse_id", "race_date", "age").join(table(spark, d, "horse").select("horse_id", "date_of_birth"), "horse_id")
@@ -282,12 +238,6 @@ def link_by_name(spark: SparkSession, d: str) -> DataFrame:
     return j.select("horse_id", "parent_id", F.lit("sire").alias("link"))
 
 
-@query("WITH t AS (SELECT race_id, unnest(pool_types) pool, race_date FROM race) SELECT t.race_id, t.pool, r.race_id other_id FROM t JOIN race r ON r.race_date = t.race_date AND list_contains(r.pool_types, t.pool) AND r.race_id > t.race_id")
-def unnest_rejoin(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "race").select("race_id", "race_date", F.explode("pool_types").alias("pool"))
-    return t.join(t.select(F.col("race_id").alias("other_id"), "race_date", "pool"), ["race_date", "pool"]).where("other_id > race_id").select("race_id", "pool", "other_id")
-
-
 @query("SELECT a.race_id, b.race_id other_id FROM race a JOIN race b ON a.track_id = b.track_id AND a.race_date = b.race_date AND abs(a.distance - b.distance) <= 50 AND a.race_number < b.race_number")
 def natural_key_near(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "race").select("race_id", "track_id", "race_date", "distance", "race_number")

@@ -12,12 +12,9 @@ from paddock.plans.statistics import _ROLES, _roles
 from paddock.runtime import table
 
 
-@query(f"""WITH {E}, t AS (SELECT entry_id, race_id, time_seconds, placement old, CASE WHEN regexp_matches(placement_text, '^[1-9][0-9]?$') AND TRY_CAST(placement_text AS INT) BETWEEN 1 AND 15 THEN TRY_CAST(placement_text AS INT) ELSE placement END p, placement_text FROM e WHERE race_id IS NOT NULL),
-m AS (SELECT *, max(p) OVER (PARTITION BY race_id) top FROM t), z AS (SELECT *, CASE WHEN placement_text = '0' AND p = 1 AND top > 1 THEN NULL ELSE p END q FROM m)
-SELECT entry_id, old, q::INT placement FROM z WHERE old IS DISTINCT FROM q""")
-def repair_placement(spark: SparkSession, d: str) -> DataFrame:
+def placements_repaired(results: DataFrame) -> DataFrame:
     """Placements set from their texts, and first places taken from rows whose text says unplaced."""
-    e = fact(spark, d, "race_id", "placement", "placement_text").where("race_id is not null")
+    e = results.where("race_id is not null")
     n = F.col("placement_text").try_cast("int")
     e = e.withColumn("p", F.when(F.col("placement_text").rlike("^[1-9][0-9]?$") & n.between(1, 15), n).otherwise(F.col("placement").cast("int")))
     e = e.withColumn("top", F.max("p").over(Window.partitionBy("race_id")))
@@ -25,17 +22,6 @@ def repair_placement(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry_id", F.col("placement").alias("old"), new.alias("placement")).where(~F.col("old").eqNullSafe(F.col("placement")))
 
 
-@query(f"WITH {E} SELECT entry_id, CAST(placement AS VARCHAR) placement_text FROM e WHERE placement_text IN ('g', 'd') AND placement BETWEEN 1 AND 15")
-def repair_galopp_text(spark: SparkSession, d: str) -> DataFrame:
-    e = fact(spark, d, "placement", "placement_text").where("placement_text in ('g', 'd') and placement between 1 and 15")
-    return e.select("entry_id", F.col("placement").cast("string").alias("placement_text"))
-
-
-@query(f"WITH {E} SELECT entry_id, false withdrawn FROM e WHERE withdrawn AND time_seconds BETWEEN 60 AND 100")
-def repair_withdrawn(spark: SparkSession, d: str) -> DataFrame:
-    return fact(spark, d, "withdrawn", "time_seconds").where("withdrawn and time_seconds between 60 and 100").select("entry_id", F.lit(False).alias("withdrawn"))
-
-
 @query(f"""WITH {E}, l AS (SELECT horse_id, arg_max(sex, (race_date, entry_id)) sex FROM e WHERE horse_id IS NOT NULL AND sex IN ('H', 'V', 'S') AND race_date IS NOT NULL GROUP BY horse_id)
 SELECT horse_id, gender_code old, l.sex gender_code FROM horse JOIN l USING (horse_id) WHERE gender_code IS NULL OR gender_code NOT IN ('H', 'V', 'S') OR (gender_code = 'S') <> (l.sex = 'S')""")
 def repair_sex(spark: SparkSession, d: str) -> DataFrame:
