@@ -14,8 +14,11 @@ each node; and descendants are gathered downward, a generation a round, once cyc
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from paddock.runtime import cut, keep_until_exit, shared_dir
 SIBLING_BUCKETS = 1024
 #: Steps of peeling planned together before their result is written.
 STEPS = 2
+#: Links that one task settles colours among.
+LINKS_A_TASK = 200_000
 #: Peeling goes on while a round leaves no larger share of the links than this.
 WORTH_PEELING = 0.8
 #: Parts that the children of one parent are spread over where its ancestors are sent to them.
@@ -184,25 +189,47 @@ def _generations(links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def _least_both_ways(links: DataFrame) -> DataFrame:
-    """``(node, down, up)``: the least id that leads to each node along ``links`` and the least it leads to.
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Colours of the ends of a share of the links, passed on among these links until none changes."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    whole = pd.concat(parts)
+    ids, at = np.unique(np.concatenate([whole.node.to_numpy(), whole.parent.to_numpy()]), return_inverse=True)
+    child, parent = at[: len(whole)], at[len(whole) :]
+    down, up = ids.copy(), ids.copy()
+    for end, d, u in ((child, "n_down", "n_up"), (parent, "p_down", "p_up")):
+        np.minimum.at(down, end, whole[d].to_numpy())
+        np.minimum.at(up, end, whole[u].to_numpy())
+    while True:
+        before = down.sum(), up.sum()
+        np.minimum.at(down, parent, down[child])
+        np.minimum.at(up, child, up[parent])
+        for colour in (down, up):  # what a colour that is here has become
+            place = np.minimum(np.searchsorted(ids, colour), len(ids) - 1)
+            np.minimum(colour, np.where(ids[place] == colour, colour[place], colour), out=colour)
+        if before == (down.sum(), up.sum()):
+            break
+    yield pd.DataFrame({"node": ids, "down": down, "up": up})
+
 
-    A node hears its neighbours and takes over what its own colours have meanwhile become, so that
-    colours travel by leaps and long cycles need few rounds.
+def _least_both_ways(links: DataFrame, n: int) -> DataFrame:
+    """``(node, down, up)``: the least id that leads to each node along the ``n`` ``links`` and the least it leads to.
+
+    Every task passes colours on among its share of the links until they settle there, then the
+    shares tell each other; a round in which nothing changes is the last. The number of shares
+    follows the number of links, so a task never holds more than ``LINKS_A_TASK`` of them or so.
     """
+    kind = links.schema["node"].dataType.simpleString()
     nodes = links.select(F.explode(F.array("node", "parent")).alias("node")).distinct()
     total = lambda: F.sum("down") + F.sum("up")
     now = cut(nodes.select("node", F.col("node").alias("down"), F.col("node").alias("up")), "colours", total=total())
+    shares = -(-n // LINKS_A_TASK)
     while True:
-        at = now.df
-        none = F.lit(None).cast(at.schema["node"].dataType)
-        said = [
-            at, links.join(at.select("node", "down"), "node").select(F.col("parent").alias("node"), "down", none.alias("up")),
-            links.join(at.select(F.col("node").alias("parent"), "up"), "parent").select("node", none.alias("down"), "up"),
-            at.select("node", F.col("down").alias("x")).join(at.select(F.col("node").alias("x"), "down"), "x").select("node", "down", none.alias("up")),
-            at.select("node", F.col("up").alias("x")).join(at.select(F.col("node").alias("x"), "up"), "x").select("node", none.alias("down"), "up"),
-        ]
-        before, now = now, cut(reduce(DataFrame.unionByName, said).groupBy("node").agg(F.min("down").alias("down"), F.min("up").alias("up")), "colours", total=total())
+        end = lambda c, p: now.df.select(F.col("node").alias(c), F.col("down").alias(f"{p}_down"), F.col("up").alias(f"{p}_up"))
+        held = links.join(end("node", "n"), "node").join(end("parent", "p"), "parent").repartition(shares, "node")
+        told = held.mapInPandas(_settle, f"node {kind}, down {kind}, up {kind}")
+        before, now = now, cut(told.groupBy("node").agg(F.min("down").alias("down"), F.min("up").alias("up")), "colours", total=total())
         before.drop()
         if now.seen["total"] == before.seen["total"]:
             return now.df
@@ -217,7 +244,7 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
     the least id that leads to each node and the least it leads to: where both are the same id the
     nodes are that id's group, elsewhere the links between nodes of equal ids go on. Each part
     gives off the group of its least id, so the splitting ends. A node between two cycles is no
-    group, a node linked to itself is. Every step is a join, whatever the number of links.
+    group, a node linked to itself is. The steps are the same whatever the number of links.
     """
     alive = cut(links.select("node", "parent").distinct(), "links")
     groups = []
@@ -233,7 +260,7 @@ def cyclic_groups(links: DataFrame) -> DataFrame:
                 break
         if not alive.seen["rows"]:
             break
-        colours = _least_both_ways(alive.df)
+        colours = _least_both_ways(alive.df, alive.seen["rows"])
         groups.append(colours.where("down = up").select("node", F.col("down").alias("colour")))
         mixed = colours.where("down <> up")
         ends = mixed.select(F.col("node").alias("parent"), "down", "up")

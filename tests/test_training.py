@@ -28,7 +28,9 @@ def climb(parent, a):
     return a, n
 
 
-def test_hierarchy_equals_brute_force(spark):
+@pytest.mark.parametrize("share", [200_000, 40])  # all links in one share, and many shares that tell each other
+def test_hierarchy_equals_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(hierarchy, "LINKS_A_TASK", share)
     rnd = random.Random(7)
     rows = [(i, rnd.choice([None, rnd.randint(1, i), rnd.randint(1, 420)]), rnd.choice([None, max(1, i - rnd.randint(1, 3))])) for i in range(1, 401)]
     ids = {r[0] for r in rows}
