@@ -40,3 +40,26 @@ def changed(base: DataFrame, delta: DataFrame, keys: list[str], columns: list[st
 def since(rows: DataFrame, column: str, watermark, overlap: timedelta = timedelta(hours=1)) -> DataFrame:
     """Rows at or after the stored watermark less an overlap; all rows without one."""
     return rows if watermark is None else rows.where(F.col(column) >= F.lit(watermark - overlap))
+
+
+def advanced(store: DataFrame, tables: dict[str, DataFrame], column: str, overlap: timedelta = timedelta(hours=1)) -> DataFrame:
+    """``(name, delta, watermark)``: rows of each table since its stored watermark, and the next one.
+
+    ``store`` holds one row ``(name, watermark)`` a table; a null watermark asks for everything
+    again. A watermark never goes back; a table without rows keeps its own.
+    """
+    known = {r["name"]: r["watermark"] for r in store.collect()}  # one row a table
+    parts = []
+    for name, mark in known.items():
+        rows = tables[name]
+        fresh = F.count(F.lit(1)) if mark is None else F.count(F.when(F.col(column) >= F.lit(mark - overlap).cast("timestamp_ntz"), 1))
+        parts.append(rows.agg(F.lit(name).alias("name"), fresh.alias("delta"), F.greatest(F.max(column), F.lit(mark).cast("timestamp_ntz")).alias("watermark")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def of_changed(children: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """Rows that hang on a parent that changed."""
+    return children.join(changed.select(key).distinct(), key, "left_semi")
