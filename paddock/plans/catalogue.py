@@ -6,7 +6,7 @@ from importlib import import_module
 
 from paddock.plans.base import QUERIES, SQL
 
-for _part in ("statistics", "features", "browse", "identity", "sources_sql", "streams", "models", "repairs", "goldens", "planted", "assembly"):
+for _part in ("statistics", "features", "browse", "identity", "sources_sql", "streams", "models", "repairs", "goldens", "planted", "assembly", "ingest"):
     import_module(f"paddock.plans.{_part}")
 
 
