@@ -288,17 +288,10 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return a.select("entry_id", F.round((F.sum("r").over(w) - F.coalesce("r", F.lit(0.0))) / F.when(others != 0, others), 6).alias("field_rate"))
 
 
-@query(f"""WITH {S}, {_DAILY}, pk AS (SELECT DISTINCT driver_id, race_date + 3 as_of FROM s WHERE driver_id IS NOT NULL AND day(race_date) <= 5)
-SELECT pk.driver_id, pk.as_of, coalesce(sum(dd.starts), 0)::BIGINT starts, coalesce(sum(dd.wins), 0)::BIGINT wins FROM pk LEFT JOIN dd ON dd.driver_id = pk.driver_id AND dd.race_date >= pk.as_of - 30 AND dd.race_date < pk.as_of GROUP BY ALL""")
-def asof_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = starts(spark, d, "driver_id", "won")
-    return _asof_pairs(s, s.where("day(race_date) <= 5"))
-
-
 @query(f"""WITH {S}, {_DAILY}, pk AS (SELECT DISTINCT driver_id, race_date + 3 as_of FROM s WHERE driver_id IS NOT NULL AND race_date IS NOT NULL)
 SELECT pk.driver_id, pk.as_of, coalesce(sum(dd.starts), 0)::BIGINT starts, coalesce(sum(dd.wins), 0)::BIGINT wins FROM pk LEFT JOIN dd ON dd.driver_id = pk.driver_id AND dd.race_date >= pk.as_of - 30 AND dd.race_date < pk.as_of GROUP BY ALL""")
 def asof_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for every driver and race day."""
+    """A driver's starts and wins over the 30 days before a day, for every driver and race day (three days on)."""
     s = starts(spark, d, "driver_id", "won")
     return _asof_pairs(s, s.where("race_date is not null"))
 

@@ -210,13 +210,6 @@ def repeated_key_counts(spark: SparkSession, d: str) -> DataFrame:
     return one("registration", "registration_number").unionByName(one("st_id", "st_id"))
 
 
-@query(f"WITH {E} SELECT entry_id, placement, placement_text FROM e WHERE regexp_matches(placement_text, '^[1-9][0-9]?$') AND TRY_CAST(placement_text AS INT) BETWEEN 1 AND 15 AND placement IS DISTINCT FROM TRY_CAST(placement_text AS INT)")
-def placement_text_disagrees(spark: SparkSession, d: str) -> DataFrame:
-    """Placement numbers that disagree with their text."""
-    n = F.col("placement_text").try_cast("int")
-    return fact(spark, d, "placement", "placement_text").where(F.col("placement_text").rlike("^[1-9][0-9]?$") & n.between(1, 15) & ~F.col("placement").eqNullSafe(n)).select("entry_id", "placement", "placement_text")
-
-
 @query(f"WITH {E} SELECT e.entry_id, abs(e.age - (year(e.race_date) - year(h.date_of_birth)))::INT off FROM e JOIN horse h USING (horse_id) WHERE abs(e.age - (year(e.race_date) - year(h.date_of_birth))) > 1 AND e.race_date > h.date_of_birth + INTERVAL 6 MONTHS")
 def age_mismatch(spark: SparkSession, d: str) -> DataFrame:
     j = fact(spark, d, "horse_id", "race_date", "age").join(table(spark, d, "horse").select("horse_id", "date_of_birth"), "horse_id")

@@ -344,6 +344,13 @@ def incomplete_results(spark: SparkSession, d: str) -> DataFrame:
     return g.select("race_id", ((F.col("placed") > 0) & (F.col("clean") >= 2) & (F.col("timed") == 0)).alias("missing_times"), ((F.col("run") >= 2) & (F.col("posts") == 0)).alias("missing_posts")).where("missing_times or missing_posts")
 
 
+@_pure("placement_text_disagrees", [RESULTS], "SELECT entry_id, placement, placement_text FROM rs WHERE regexp_matches(placement_text, '^[1-9][0-9]?$') AND TRY_CAST(placement_text AS INT) BETWEEN 1 AND 15 AND placement IS DISTINCT FROM TRY_CAST(placement_text AS INT)")
+def placement_text_disagrees(spark: SparkSession, d: str) -> DataFrame:
+    """Placement numbers that disagree with their text."""
+    n = F.col("placement_text").try_cast("int")
+    return RESULTS.df(spark).where(F.col("placement_text").rlike("^[1-9][0-9]?$") & n.between(1, 15) & ~F.col("placement").eqNullSafe(n)).select("entry_id", "placement", "placement_text")
+
+
 @_pure("horse_twice_in_race", [RESULTS], "SELECT race_id, horse_id, count(*) n FROM rs GROUP BY ALL HAVING count(*) > 1")
 def horse_twice_in_race(spark: SparkSession, d: str) -> DataFrame:
     return RESULTS.df(spark).dropna(subset=["race_id", "horse_id"]).groupBy("race_id", "horse_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
