@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -152,20 +153,22 @@ def database(spark: SparkSession, url: str, query: str, key: str | None = None,
     return r.option("query", query).load()
 
 
-def chain(links: DataFrame, seeds: list, node: str, following: str, steps: int = 10_000) -> DataFrame:
+def chain(links: DataFrame, seeds: list, node: str, following: str, steps: int | None = None) -> DataFrame:
     """Nodes reached from the seeds along ``following``, each once, with the step it was reached at.
 
-    A frontier join a step; a circle ends the walk, as does ``steps``.
+    A frontier join a step; a circle ends the walk. A walk that is not over after ``steps``, where
+    given, is an error, so that nothing is left out unseen.
     """
     from paddock.runtime import cut
 
     kind = links.schema[node].dataType.simpleString()
     front = cut(links.sparkSession.createDataFrame([(s,) for s in seeds], f"{node} {kind}").distinct().withColumn("step", F.lit(0)), "walk")
     seen = front.df
-    for k in range(1, steps + 1):
+    for k in count(1):
         nxt = links.join(front.df.select(node), node).where(F.col(following).isNotNull()).select(F.col(following).alias(node)).distinct()
         front = cut(nxt.join(seen.select(node), node, "left_anti").withColumn("step", F.lit(k)), "walk")
         if not front.seen["rows"]:
-            break
+            return seen
+        if steps is not None and k > steps:
+            raise ValueError(f"the walk goes on after {steps} steps")
         seen = seen.unionByName(front.df)
-    return seen

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from paddock.sources import readers, sinks
@@ -34,6 +36,8 @@ def test_rates_chain_and_merge(spark, tmp_path):
     assert got == {("USD", "2024-01-02"): 10.0, ("NOK", "2024-01-02"): 1.018182, ("EUR", "2024-01-02"): 11.2}
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8)], "id int, nxt int")
     assert {(r.id, r.step) for r in readers.chain(links, [1], "id", "nxt").collect()} == {(1, 0), (2, 1), (3, 2)}
+    with pytest.raises(ValueError):
+        readers.chain(links, [1], "id", "nxt", steps=1)
     rows = spark.createDataFrame([(1, "a", None), (2, None, 5.5), (3, "c", 1.0)], "id int, n string, v double")
     kept, lost = sinks.merged(rows, spark.createDataFrame([(2, 1), (3, 3)], "loser int, keeper int"), "id")
     assert {r.id for r in kept.collect()} == {1, 3}
