@@ -17,12 +17,13 @@ def priority(source: Column, concept: str) -> Column:
 
 
 def duplicate_groups(rows: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    """Groups of rows with equal, known keys: ``(keys, n, ids)``, ids ascending.
+    """Rows that share equal, known keys with others: ``(keys, n, keep, row_id)``, one row a member.
 
-    The list is as long as the group; use it where duplicates are few.
+    ``n`` is the size of the group and ``keep`` its least id; no group is gathered into one row.
     """
-    g = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(row_id)).alias("ids"))
-    return g.where("n > 1")
+    known = rows.dropna(subset=keys).select(*keys, row_id)
+    g = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("keep")).where("n > 1")
+    return known.join(g, keys).select(*keys, "n", "keep", row_id)
 
 
 def keepers(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

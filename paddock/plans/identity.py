@@ -36,9 +36,9 @@ def normalized_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "horse").select("horse_id", normalize_name(F.col("name")).alias("norm"))
 
 
-@query(f"WITH {_H} SELECT nn, birth_country, year(date_of_birth)::INT birth_year, count(*) n, list_sort(list(horse_id)) ids FROM h WHERE birth_country IS NOT NULL AND date_of_birth IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {_H} SELECT nn, birth_country, year(date_of_birth)::INT birth_year, count(*) OVER g n, min(horse_id) OVER g keep, horse_id FROM h WHERE birth_country IS NOT NULL AND date_of_birth IS NOT NULL WINDOW g AS (PARTITION BY nn, birth_country, year(date_of_birth)) QUALIFY count(*) OVER g > 1")
 def dup_groups(spark: SparkSession, d: str) -> DataFrame:
-    return I.duplicate_groups(_named(spark, d, "birth_country", "date_of_birth").withColumn("birth_year", F.year("date_of_birth")), ["nn", "birth_country", "birth_year"], "horse_id").select("nn", "birth_country", "birth_year", "n", "ids")
+    return I.duplicate_groups(_named(spark, d, "birth_country", "date_of_birth").withColumn("birth_year", F.year("date_of_birth")), ["nn", "birth_country", "birth_year"], "horse_id")
 
 
 @query(f"WITH {_H} SELECT a.horse_id, b.horse_id other_id FROM h a JOIN h b ON a.nn = b.nn AND a.horse_id < b.horse_id AND (a.birth_country = b.birth_country OR a.birth_country IS NULL OR b.birth_country IS NULL)")
@@ -217,9 +217,9 @@ def age_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return j.where((off > 1) & (F.col("race_date") > F.add_months("date_of_birth", 6))).select("entry_id", off.alias("off"))
 
 
-@query("SELECT source, lower(name) nm, count(*) n, list_sort(list(raw_id)) ids FROM horse_raw WHERE name IS NOT NULL AND source IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT source, lower(name) nm, count(*) OVER (PARTITION BY source, lower(name)) n, min(raw_id) OVER (PARTITION BY source, lower(name)) keep, raw_id FROM horse_raw WHERE name IS NOT NULL AND source IS NOT NULL QUALIFY count(*) OVER (PARTITION BY source, lower(name)) > 1")
 def fetched_twice(spark: SparkSession, d: str) -> DataFrame:
-    return I.duplicate_groups(table(spark, d, "horse_raw").withColumn("nm", F.lower("name")), ["source", "nm"], "raw_id").select("source", "nm", "n", "ids")
+    return I.duplicate_groups(table(spark, d, "horse_raw").withColumn("nm", F.lower("name")), ["source", "nm"], "raw_id")
 
 
 @query("SELECT c.horse_id, min(p.horse_id) parent_id, 'sire' AS link FROM hc c JOIN hp p ON c.sn = p.nn AND p.gender_code = 'H' AND c.horse_id <> p.horse_id GROUP BY c.horse_id HAVING count(*) = 1".replace("hc c", f"(SELECT horse_id, {_norm_sql('sire_name')} sn FROM horse WHERE sire_id IS NULL AND sire_name IS NOT NULL) c").replace("hp p", f"(SELECT horse_id, gender_code, {_norm_sql('name')} nn FROM horse WHERE length({_norm_sql('name')}) > 2 AND {_norm_sql('name')} NOT IN ('N.N.', 'UNKNOWN', 'UNBEKANNT', 'INCONNU', 'OKAND')) p"))
