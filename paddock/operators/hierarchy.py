@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.operators.intervals import stab
-from paddock.runtime import cut, keep_until_exit, shared_dir
+from paddock.runtime import Cut, cut, keep_until_exit, shared_dir
 
 #: Siblings are split into this many buckets, so that no parent's children meet in one task.
 SIBLING_BUCKETS = 1024
@@ -221,18 +221,21 @@ def _least_both_ways(links: DataFrame, n: int) -> DataFrame:
     follows the number of links, so a task never holds more than ``LINKS_A_TASK`` of them or so.
     """
     kind = links.schema["node"].dataType.simpleString()
-    nodes = links.select(F.explode(F.array("node", "parent")).alias("node")).distinct()
     total = lambda: F.sum("down") + F.sum("up")
-    now = cut(nodes.select("node", F.col("node").alias("down"), F.col("node").alias("up")), "colours", total=total())
     shares = -(-n // LINKS_A_TASK)
-    while True:
+    ends = {f"{p}_{way}": F.col(c) for c, p in (("node", "n"), ("parent", "p")) for way in ("down", "up")}
+
+    def settled(held: DataFrame) -> Cut:
+        told = held.repartition(shares, "node").mapInPandas(_settle, f"node {kind}, down {kind}, up {kind}")
+        return cut(told.groupBy("node").agg(F.min("down").alias("down"), F.min("up").alias("up")), "colours", total=total())
+
+    now, before = settled(links.withColumns(ends)), None
+    while shares > 1 and (before is None or now.seen["total"] != before.seen["total"]):  # one share has nobody to tell
         end = lambda c, p: now.df.select(F.col("node").alias(c), F.col("down").alias(f"{p}_down"), F.col("up").alias(f"{p}_up"))
-        held = links.join(end("node", "n"), "node").join(end("parent", "p"), "parent").repartition(shares, "node")
-        told = held.mapInPandas(_settle, f"node {kind}, down {kind}, up {kind}")
-        before, now = now, cut(told.groupBy("node").agg(F.min("down").alias("down"), F.min("up").alias("up")), "colours", total=total())
-        before.drop()
-        if now.seen["total"] == before.seen["total"]:
-            return now.df
+        if before:
+            before.drop()
+        before, now = now, settled(links.join(end("node", "n"), "node").join(end("parent", "p"), "parent"))
+    return now.df
 
 
 def cyclic_groups(links: DataFrame) -> DataFrame:
