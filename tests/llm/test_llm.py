@@ -259,3 +259,19 @@ def test_levels_by_joined_dictionary(spark, small, monkeypatch):
     monkeypatch.setattr(reading, "DICTIONARY", 0)
     assert levels() == sent and sent
     assert set(levels(rounds=0)) == set(sent)
+
+
+def test_linkage_equal_names_by_how_many_have_them(spark):
+    """One name more or less across the limit changes nothing; each power of ten is a level, at every size."""
+    born = lambda i: dt.date(1960 + i % 50, 1 + i % 12, 2 + i % 20)
+    person = lambda i, name: (i, name, born(i), "S", "SE", f"{chr(65 + i % 26)}ire{chr(97 + i % 26)}", f"{chr(65 + i % 25)}am{chr(97 + i % 25)}", None, "st", None, None)
+    record = lambda i, name: (1000 + i, "hvt", name, f"{born(i).year}" if i % 2 else None, "Stute", "SE", None, None)
+    home = [person(i, "Same Name") for i in range(141)] + [person(200, "Rare Bird")] + [person(300 + i, "Some Horses") for i in range(4)]
+    raw = [record(200, "Rare Bird")] + [record(300 + i, "Some Horses") for i in range(4)]
+    levels = []
+    for n in (141, 142):  # 19,881 and 20,022 pairs
+        more = [(2000 + i, "hvt", "Same Name", None, "Stute", "SE", f"Zz{chr(97 + i % 26)}{chr(97 + i // 26)}qx", None) for i in range(n)]
+        (a, _), (b, _) = linkage.profiles(linkage.horse_traits(spark.createDataFrame(home, HORSE))), linkage.profiles(linkage.raw_traits(spark.createDataFrame(raw + more, RAW)))
+        said = linkage.scored(a, b).join(a.select(F.col("pid").alias("l"), "name"), "l").join(b.select(F.col("pid").alias("r"), F.col("name").alias("other")), "r")
+        levels.append({(r.name, r.v_name) for r in said.where("name = other").select("name", "v_name").distinct().collect()})
+    assert levels[0] == levels[1] == {("RAREBIRD", 5), ("SOMEHORSES", 6), ("SAMENAME", 9)}
