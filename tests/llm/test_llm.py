@@ -275,3 +275,23 @@ def test_linkage_equal_names_by_how_many_have_them(spark):
         said = linkage.scored(a, b).join(a.select(F.col("pid").alias("l"), "name"), "l").join(b.select(F.col("pid").alias("r"), F.col("name").alias("other")), "r")
         levels.append({(r.name, r.v_name) for r in said.where("name = other").select("name", "v_name").distinct().collect()})
     assert levels[0] == levels[1] == {("RAREBIRD", 5), ("SOMEHORSES", 6), ("SAMENAME", 9)}
+
+
+def test_judge_tells_every_source_apart(spark, monkeypatch):
+    """The thirtieth source counts by its own quality, as do rows without a source; fitted on executors the same comes out."""
+    rnd = random.Random(5)
+    sources = [*(f"s{i:02d}" for i in range(30)), "other", None]
+    good = {s: 0.2 if s in ("s28", "other") else 0.9 for s in sources}
+    rows = []
+    for i in range(500):
+        for k, s in enumerate(sources if i == 0 else rnd.sample(sources, 6)):
+            rows.append((i, i * 100 + k, s, "t" if rnd.random() < good[s] else f"f{rnd.randint(0, 5)}"))
+    said = spark.createDataFrame(rows, "group_id int, row_id int, source string, value string").withColumns({"field_name": F.lit("name"), "key": F.col("value"), "seen": F.lit(None).cast("timestamp_ntz")})
+    beliefs, quality = survivor.judge(said)
+    assert {s for _, s in quality} == set(sources)
+    assert all((quality["name", s][0] > 0.7) == (good[s] > 0.5) for s in sources)
+    monkeypatch.setattr(survivor, "DRIVER_FIT", 0)
+    apart, again = survivor.judge(said)
+    place = lambda df: {(r.group_id, r.key): round(r.p, 6) for r in df.collect()}
+    assert place(apart) == place(beliefs) and again.keys() == quality.keys()
+    assert all(np.allclose(again[k], quality[k]) for k in quality)
